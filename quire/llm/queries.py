@@ -1,11 +1,14 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from quire.llm import licenses, mixing, sharding
+from quire.llm import decontamination, licenses, mixing, quality, sharding, tokens
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_sharding": sharding.query,
     "op4_licenses": licenses.query,
+    "op6_tokens": tokens.query,
+    "op8_decontamination": decontamination.query,
+    "op10_quality": quality.query,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
