@@ -124,8 +124,7 @@ def shard(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: every document's shard under the law of near equal bytes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return shard(docs, 40).select(
-        "doc_id", record_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({
+        "size": record_size(F.col("text")), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
+    })
+    return shard(docs, 40).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
