@@ -123,8 +123,10 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def by_bucket(h: np.ndarray, buckets: int):
     """For sorted hashes: (bucket, slice) of each bucket that has any."""
+    if not len(h):
+        return
     b = bucket_of(h, buckets)
-    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     for lo, hi in zip(at, np.r_[at[1:], len(b)], strict=True):
         yield int(b[lo]), slice(int(lo), int(hi))
 

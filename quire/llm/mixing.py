@@ -30,7 +30,7 @@ from quire.llm.common import WORD, word_count
 #: (time, weight) knots, in order of time, from 0 to 1.
 Schedule = Sequence[tuple[float, float]]
 _P = "_quire_"
-_OUT = ("size", "source_size", "target", "copies", "taken", "position")
+_OUT = ("size", "source_size", "target", "copies", "taken", "positions", "position")
 
 
 def ramp(weight: float, slope: float) -> Schedule:
@@ -69,7 +69,7 @@ def _invert(share: Column, knots: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), slopes: Sequence[float] = (0.5, 0.0, -0.5), *, share: float = 1.5, max_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_part: int = 20_000) -> DataFrame:
-    """All rows with size, source_size, target, copies (times the document is taken), taken and position of the first copy (null for none).
+    """All rows with size, source_size, target, copies (times the document is taken), taken, positions (of each copy) and position (of the first; null for none).
 
     Weights and slopes repeat over the sources in code point order, null last.  One row a source is held
     by the driver; sources are names of collections, not of documents.
@@ -107,16 +107,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), slopes: Sequence[
     placed = placed.join(F.broadcast(plan), placed[source_col].eqNullSafe(plan[f"{_P}s"]), "left")
     middle = F.col(f"{_P}before") + F.col(f"{_P}inside") + F.col("size") / F.lit(2.0)
     extra = (middle <= F.col(f"{_P}rest")) & (F.col("size") > 0)
-    reached = F.when(F.col("target") > 0, middle / F.col("target")).otherwise(F.lit(0.0))
+    passes = F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda k: k.cast("double"))
+    reached = lambda k: F.least((middle + k * F.col("source_size")) / F.col("target"), F.lit(1.0))
+    times = F.transform(F.filter(passes, lambda k: k < F.col("copies")), lambda k: F.round(_invert(reached(k), F.col(f"{_P}knots")), 9))
     return (
         placed.withColumn("copies", (F.col(f"{_P}full") + extra.cast("int")).cast("int"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .withColumn("position", F.when(F.col("copies") > 0, F.round(_invert(F.least(reached, F.lit(1.0)), F.col(f"{_P}knots")), 9)))
+        .withColumn("positions", times)
+        .withColumn("position", F.get("positions", F.lit(0)))
         .drop(*[f"{_P}{c}" for c in ("s", "full", "rest", "knots", "order", "tie", "part", "before", "inside")])
         .orderBy("position", id_col)
     )
 
 
+def repeated(mixed: DataFrame) -> DataFrame:
+    """A row for each copy that the mix takes, range-sorted by its own position."""
+    return mixed.withColumn("position", F.explode("positions")).orderBy("position")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: all documents, mixed with weights 3, 1, 2 to 150 % of all words."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
