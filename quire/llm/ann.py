@@ -6,7 +6,7 @@ nearest codeword of each subspace.  A query visits the ``probes`` cells whose ce
 inner product with it; in a cell, tables of inner products between the query's parts and the codewords
 rank all codes, and the best ``rerank`` are scored exactly, in double precision, on the vectors themselves.
 
-A cell with many vectors is dealt over several parts, so no task holds a hot cell.  Equal vectors tie, and
+Cells are packed into parts of bounded size, and a large cell is dealt over several, so no task holds a hot cell.  Equal vectors tie, and
 of ties only the smallest ids can be answers: of each distinct vector the k + 1 smallest ids are searched,
 which is exact.  Queries are a stated set; they meet a cell's part in blocks, never all vectors at once.
 
@@ -107,7 +107,7 @@ def _smallest(rows: DataFrame, k: int) -> DataFrame:
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", cells: int | None = None, probes: int | None = None, parts: int = 16, rerank: int = 400, fit_rows: int = 20_000, part_rows: int = 4096, query_block: int = 512) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", cells: int | None = None, probes: int | None = None, parts: int = 16, rerank: int = 100, fit_rows: int = 20_000, part_rows: int = 4096, query_block: int = 128) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by inner product, its own id left out."""
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vec_col)
@@ -129,56 +129,68 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str =
 
     schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("ids", T.ArrayType(T.LongType())), rows.schema["v"], T.StructField("code", T.BinaryType())])
     indexed = _smallest(rows, k + 1).select("ids", "v").mapInArrow(place, schema)
-    # a part holds about part_rows vectors of one cell: the hash deals a cell over as many parts as its size asks for
-    sizes = [(r["cell"], max(1, math.ceil(r["count"] / part_rows))) for r in indexed.groupBy("cell").count().collect()]
-    in_parts = F.create_map(*[F.lit(x) for s in sizes for x in s]) if sizes else F.create_map()
-    indexed = indexed.withColumn("part", F.pmod(F.xxhash64("v"), F.element_at(in_parts, F.col("cell"))).cast("int"))
-    counts = dict(sizes)
+    # parts of about part_rows vectors: small cells share one, a large one is dealt over several by hash
+    first, spread, filled, n_parts = {}, {}, 0, 0
+    for r in indexed.groupBy("cell").count().orderBy("cell").collect():
+        if r["count"] > part_rows or not n_parts or filled + r["count"] > part_rows:
+            n_parts, filled = n_parts + 1, 0
+        first[r["cell"]], spread[r["cell"]] = n_parts - 1, math.ceil(r["count"] / part_rows)
+        n_parts += spread[r["cell"]] - 1
+        filled = part_rows if r["count"] > part_rows else filled + r["count"]
+    if not first:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    of = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("cell"))
+    indexed = indexed.withColumn("part", (of(first) + F.pmod(F.xxhash64("v"), of(spread))).cast("int"))
 
     def route(batches):
         for b in batches:
             x = _matrix(b.column("v"))
             if not len(x):
                 continue
-            visited = index.value.visit(x, probes)
-            row, cell = np.repeat(np.arange(len(x)), visited.shape[1]), visited.reshape(-1)
-            times = np.array([counts.get(int(c), 0) for c in cell])
-            take = np.repeat(np.arange(len(cell)), times)
-            part = np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)
-            for i in range(0, len(take), 4096):
-                t = take[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(cell[t], pa.int32()), pa.array(part[i : i + 4096], pa.int32()), b.column("id").take(pa.array(row[t])), b.column("v").take(pa.array(row[t]))], names=["cell", "part", "id", "v"])
+            wanted = [sorted({p for c in row.tolist() if c in first for p in range(first[c], first[c] + spread[c])}) for row in index.value.visit(x, probes)]
+            row, part = np.repeat(np.arange(len(x)), [len(w) for w in wanted]), np.array([p for w in wanted for p in w], np.int64)
+            for i in range(0, len(row), 4096):
+                t = pa.array(row[i : i + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(part[i : i + 4096], pa.int32()), b.column("id").take(t), b.column("v").take(t)], names=["part", "id", "v"])
 
-    routed = asked.mapInArrow(route, T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), asked.schema["id"], asked.schema["v"]]))
+    routed = asked.mapInArrow(route, T.StructType([T.StructField("part", T.IntegerType()), asked.schema["id"], asked.schema["v"]]))
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        """The best of one part of a cell for each query that visits it."""
+        """The best of one part for each query that visits one of its cells."""
         qids, near_ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(q) and len(c):
             x, codes = _matrix(c.column("v")), np.stack([np.frombuffer(z.as_py(), np.uint8) for z in c.column("code")])
+            cell = c.column("cell").to_numpy()
             ids = c.column("ids").combine_chunks()
             flat, edge = ids.flatten().to_numpy(), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())]
+            r = min(rerank, len(x))
             for i in range(0, len(q), query_block):
                 y, qid = _matrix(q.column("v")[i : i + query_block]), q.column("id")[i : i + query_block].to_numpy()
                 table = index.value.tables(y).astype(np.float32)
-                guess = np.zeros((len(y), len(x)), np.float32)
+                guess = (y @ index.value.centroids.T).astype(np.float32)[:, cell]
                 for p in range(codes.shape[1]):
                     guess += table[:, p][:, codes[:, p]]
-                r = min(rerank, len(x))
+                seen = np.zeros((len(y), len(index.value.centroids)), bool)
+                np.put_along_axis(seen, index.value.visit(y, probes), True, axis=1)
+                guess[~seen[:, cell]] = -np.inf
                 best = np.argpartition(-guess, r - 1, axis=1)[:, :r]
-                for a, some in enumerate(best):
-                    exact = (x[some] * y[a]).sum(axis=1)
-                    # k + 1 vectors, and all that tie with the last: one may be the query's own
-                    least = np.partition(exact, max(0, r - k - 1))[max(0, r - k - 1)]
-                    for j, score in zip(some[exact >= least], exact[exact >= least], strict=True):
-                        near = flat[edge[j] : edge[j + 1]]
-                        near = near[near != qid[a]]
-                        qids.append(np.full(len(near), qid[a]))
-                        near_ids.append(near)
-                        scores.append(np.full(len(near), score))
+                exact = (x[best] * y[:, None, :]).sum(axis=2)
+                exact[~np.isfinite(np.take_along_axis(guess, best, axis=1))] = -np.inf
+                # k + 1 vectors, and all that tie with the last: one may be the query's own
+                keep = min(k, r - 1)
+                least = -np.partition(-exact, keep, axis=1)[:, keep]
+                a, b = np.nonzero((exact >= least[:, None]) & np.isfinite(exact))
+                j = best[a, b]
+                times = edge[j + 1] - edge[j]
+                at = np.repeat(edge[j], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                near, asker, score = flat[at], np.repeat(qid[a], times), np.repeat(exact[a, b], times)
+                other = near != asker
+                qids.append(asker[other])
+                near_ids.append(near[other])
+                scores.append(score[other])
         return pa.table([np.concatenate(qids), np.concatenate(near_ids), np.concatenate(scores)], names=["query_id", "vec_id", "score"])
 
-    found = routed.groupBy("cell", "part").cogroup(indexed.groupBy("cell", "part")).applyInArrow(meet, _FOUND)
+    found = routed.groupBy("part").cogroup(indexed.groupBy("part")).applyInArrow(meet, _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
