@@ -8,6 +8,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.kernels import let
+
 #: Word characters count in any script, and so does white space.
 U = "(?U)"
 
@@ -61,11 +63,13 @@ def has_phrase(c: Column, phrase: str) -> Column:
 
 def distinct_in_order(values: Column) -> Column:
     """Trimmed values that aren't blank, the first of each folded form."""
-    trimmed = F.filter(F.transform(values, strip), lambda x: x != "")
-    keyed = F.transform(trimmed, lambda x: F.struct(x.alias("v"), fold(x).alias("k")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    first = F.filter(keyed, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
-    return F.transform(first, lambda x: x["v"])
+
+    def first(keyed: Column) -> Column:
+        keys = F.transform(keyed, lambda x: x["k"])
+        return F.transform(F.filter(keyed, lambda x, i: F.array_position(keys, x["k"]) == i + 1), lambda x: x["v"])
+
+    trimmed = F.filter(F.transform(values, lambda x: strip(x)), lambda x: x != "")
+    return let(F.transform(trimmed, lambda x: F.struct(x.alias("v"), fold(x).alias("k"))), first)
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -74,23 +78,27 @@ def matches(c: Column, pattern: str) -> Column:
 
 def parse_amount(raw: Column) -> Column:
     """A number from digits, commas and points: the last sign decides which are decimals; null if none."""
-    kept = F.regexp_replace(raw, r"[^\d,.\-]", "")
-    comma, point = kept.contains(","), kept.contains(".")
-    after_comma, after_point = F.length(F.substring_index(kept, ",", -1)), F.length(F.substring_index(kept, ".", -1))
-    plain = lambda sign: F.replace(kept, F.lit(sign), F.lit(""))
-    number = (
-        F.when(comma & point & (after_comma < after_point), F.replace(plain("."), F.lit(","), F.lit(".")))
-        .when(comma & point, plain(","))
-        .when(comma & (after_comma == 3), plain(","))
-        .when(comma, F.replace(kept, F.lit(","), F.lit(".")))
-        .when(point & ((F.size(F.split(kept, r"\.")) > 2) | (after_point == 3)), plain("."))
-        .otherwise(kept)
-    )
-    return F.when(kept.isin("", "-", ".", ","), None).otherwise(number.try_cast("double"))
+
+    def read(kept: Column) -> Column:
+        comma, point = kept.contains(","), kept.contains(".")
+        after_comma, after_point = F.length(F.substring_index(kept, ",", -1)), F.length(F.substring_index(kept, ".", -1))
+        plain = lambda sign: F.replace(kept, F.lit(sign), F.lit(""))
+        number = (
+            F.when(comma & point & (after_comma < after_point), F.replace(plain("."), F.lit(","), F.lit(".")))
+            .when(comma & point, plain(","))
+            .when(comma & (after_comma == 3), plain(","))
+            .when(comma, F.replace(kept, F.lit(","), F.lit(".")))
+            .when(point & ((F.size(F.split(kept, r"\.")) > 2) | (after_point == 3)), plain("."))
+            .otherwise(kept)
+        )
+        return F.when(kept.isin("", "-", ".", ","), None).otherwise(number.try_cast("double"))
+
+    return let(F.regexp_replace(raw, r"[^\d,.\-]", ""), read)
 
 
 def currency(raw: Column) -> Column:
-    return F.when(fold(raw).contains("usd") | raw.contains("$"), "USD").when(fold(raw).contains("vnd") | F.lower(raw).contains("đ"), "VND")
+    dollar, dong = raw.contains("$"), F.lower(raw).contains("đ")
+    return let(fold(raw), lambda f: F.when(f.contains("usd") | dollar, "USD").when(f.contains("vnd") | dong, "VND"))
 
 
 def lines_of(text: Column) -> Column:

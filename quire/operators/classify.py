@@ -6,21 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import lexicon as L
+from quire.functions.kernels import let
 from quire.functions.text import fold, has_phrase
 
 
 def _by_score(score: Column, table: dict[int, float]) -> Column:
-    """The table's value at the score; above its last score, its last."""
-    top = max(table)
-    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.least(score, F.lit(top)))
+    """The table's value at the score (its least score is the first); above its last score, its last."""
+    low, top = min(table), max(table)
+    return F.element_at(F.array(*[F.lit(table[k]) for k in range(low, top + 1)]), F.least(score, F.lit(top)) - low + 1)
 
 
 def invoice_score(norm: Column) -> Column:
     """Two for each strong pattern, one for each medium one; 0 where the evidence is a mere mention."""
     count = lambda ps: sum((norm.rlike(p).cast("int") for p in ps), F.lit(0))
-    strong, medium = count(L.STRONG_INVOICE) * 2, count(L.MEDIUM_INVOICE)
-    mention = (strong == 0) & ((strong + medium <= 2) | (count(L.REFERENCE_LISTS) >= 2))
-    return F.when(mention, 0).otherwise(strong + medium)
+    evidence = F.struct((count(L.STRONG_INVOICE) * 2).alias("strong"), count(L.MEDIUM_INVOICE).alias("medium"))
+
+    def weigh(x: Column) -> Column:
+        mention = (x["strong"] == 0) & ((x["medium"] <= 2) | (count(L.REFERENCE_LISTS) >= 2))
+        return F.when(mention, 0).otherwise(x["strong"] + x["medium"])
+
+    return let(evidence, weigh)
 
 
 def type_scores(norm: Column) -> Column:
@@ -30,13 +35,18 @@ def type_scores(norm: Column) -> Column:
 
 def classify(docs: DataFrame, *, text_col: str = "text", threshold: int = 4) -> DataFrame:
     """Adds invoice_score, document_type and document_type_confidence; a narrow projection."""
-    scored = docs.withColumn("_norm", fold(F.coalesce(F.col(text_col), F.lit(""))))
-    scored = scored.withColumn("invoice_score", invoice_score(F.col("_norm"))).withColumn("_best", F.array_max(type_scores(F.col("_norm"))))
-    invoice, other = F.col("invoice_score") >= threshold, F.col("_best.score") > 0
-    return scored.withColumns({
-        "document_type": F.when(invoice, "invoice").when(other, F.col("_best.type")).otherwise("general_document"),
-        "document_type_confidence": F.when(invoice, _by_score(F.greatest("invoice_score", F.lit(4)), L.INVOICE_CONFIDENCE)).when(other, _by_score(F.col("_best.score"), L.TYPE_CONFIDENCE)).otherwise(F.lit(0.35)),
-    }).drop("_norm", "_best")
+
+    def judge(norm: Column) -> Column:
+        return let(F.struct(invoice_score(norm).alias("s"), F.array_max(type_scores(norm)).alias("b")), decide)
+
+    def decide(x: Column) -> Column:
+        invoice, other = x["s"] >= threshold, x["b"]["score"] > 0
+        kind = F.when(invoice, "invoice").when(other, x["b"]["type"]).otherwise("general_document")
+        sure = F.when(invoice, _by_score(F.greatest(x["s"], F.lit(4)), L.INVOICE_CONFIDENCE)).when(other, _by_score(x["b"]["score"], L.TYPE_CONFIDENCE)).otherwise(F.lit(0.35))
+        return F.struct(x["s"].alias("invoice_score"), kind.alias("document_type"), sure.alias("document_type_confidence"))
+
+    judged = docs.withColumn("_judged", let(fold(F.coalesce(F.col(text_col), F.lit(""))), judge))
+    return judged.select(*docs.columns, "_judged.*")
 
 
 def threshold_sweep(labelled: DataFrame, *, text_col: str = "text", label_col: str = "document_type", thresholds: range = range(2, 8)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import lexicon as L
-from quire.functions.kernels import take_until
+from quire.functions.kernels import let, take_until
 from quire.functions.text import U, currency, distinct_in_order, fold, has_any, hits, lines_of, matches, parse_amount, strip
 from quire.operators.classify import _by_score
 
@@ -16,12 +16,12 @@ FIELD = "struct<value: string, number: double, values: array<string>, confidence
 def field(value: Column, confidence, source, *, number=None, values=None, raw=None, money=None) -> Column:
     """A field, or null where its value is null."""
     lit = lambda x: F.lit(x) if not isinstance(x, Column) else x
-    made = F.struct(value.alias("value"), lit(number).cast("double").alias("number"), lit(values).cast("array<string>").alias("values"), lit(confidence).cast("double").alias("confidence"), lit(source).cast("string").alias("source"), lit(raw).cast("string").alias("raw"), lit(money).cast("string").alias("currency"))
-    return F.when(value.isNotNull(), made.cast(FIELD))
+    rest = lambda: [lit(values).cast("array<string>").alias("values"), lit(confidence).cast("double").alias("confidence"), lit(source).cast("string").alias("source"), lit(raw).cast("string").alias("raw"), lit(money).cast("string").alias("currency")]
+    return let(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), lit(number).cast("double").alias("number"), *rest()).cast(FIELD)))
 
 
 def many(found: Column, confidence: float, source: str) -> Column:
-    return F.when(F.size(found) > 0, field(F.array_join(found, " "), confidence, source, values=found))
+    return let(found, lambda x: F.when(F.size(x) > 0, field(F.array_join(x, " "), confidence, source, values=x)))
 
 
 def dates(text: Column) -> Column:
@@ -49,8 +49,8 @@ def amounts(text: Column, confidence: Column, source: str) -> Column:
 
 def largest(found: Column) -> Column:
     """The first of the largest values."""
-    top = F.array_max(F.transform(found, lambda x: x["value"]))
-    return F.get(F.filter(found, lambda x: x["value"] == top), F.lit(0))
+    first = lambda a, top: F.get(F.filter(a, lambda x: x["value"] == top), F.lit(0))
+    return let(found, lambda a: let(F.array_max(F.transform(a, lambda x: x["value"])), lambda top: first(a, top)))
 
 
 def total_amount(lines: Column, text: Column) -> Column:
@@ -58,7 +58,7 @@ def total_amount(lines: Column, text: Column) -> Column:
     scored = F.filter(F.transform(lines, lambda x: F.struct(x["text"].alias("text"), hits(x["norm"], L.TOTAL_WORDS).alias("n"))), lambda x: x["n"] > 0)
     on_lines = F.flatten(F.transform(scored, lambda x: amounts(x["text"], _by_score(x["n"], L.TOTAL_CONFIDENCE), "line:total_keyword")))
     best = F.coalesce(largest(on_lines), largest(amounts(text, F.lit(0.55), "regex:largest_amount")))
-    return field(number_text(best["value"]), best["confidence"], best["source"], number=best["value"], raw=best["raw"], money=best["currency"])
+    return let(best, lambda b: field(number_text(b["value"]), b["confidence"], b["source"], number=b["value"], raw=b["raw"], money=b["currency"]))
 
 
 def number_text(x: Column) -> Column:
@@ -71,8 +71,7 @@ def invoice_number(lines: Column) -> Column:
     ok = F.filter(lines, lambda x: ~has_any(x["norm"], ["ma so thue", "mst"]) & has_any(x["norm"], L.INVOICE_NUMBER_LINES))
     first = lambda x: F.coalesce(*[F.nullif(F.regexp_extract(x["text"], p, 1), F.lit("")) for p in L.INVOICE_NUMBER])
     found = F.filter(F.transform(ok, lambda x: F.struct(strip(first(x)).alias("value"), x["text"].alias("line"))), lambda x: x["value"].isNotNull())
-    one = F.get(found, F.lit(0))
-    return field(one["value"], 0.72, "regex:invoice_number", raw=one["line"])
+    return let(F.get(found, F.lit(0)), lambda one: field(one["value"], 0.72, "regex:invoice_number", raw=one["line"]))
 
 
 def after_separator(text: Column) -> Column:
@@ -102,10 +101,9 @@ def labelled(lines: Column, labels: list[str]) -> Column:
     """(value, line) of the first line that holds a label and yields a value; null if none."""
 
     def read(x: Column, i: Column) -> Column:
-        cut = after_separator(x["text"])
-        value = F.when((cut == "") | (fold(cut) == x["norm"]), without_label(x["text"], x["norm"], labels)).otherwise(cut)
-        value = F.when(value == "", next_value(lines, i)).otherwise(value)
-        return F.when(has_any(x["norm"], labels) & (value != ""), F.struct(value.alias("value"), x["text"].alias("line")))
+        cut = let(after_separator(x["text"]), lambda c: F.when((c == "") | (fold(c) == x["norm"]), without_label(x["text"], x["norm"], labels)).otherwise(c))
+        value = let(cut, lambda v: F.when(v == "", next_value(lines, i)).otherwise(v))
+        return F.when(has_any(x["norm"], labels), let(value, lambda v: F.when(v != "", F.struct(v.alias("value"), x["text"].alias("line")))))
 
     return F.get(F.filter(F.transform(lines, read), lambda x: x.isNotNull()), F.lit(0))
 
@@ -116,68 +114,84 @@ def allowed(name: Column, kind: Column) -> Column:
 
 
 def extract_fields(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """Adds a struct column for each field (null where it isn't found); needs ``document_type``."""
-    text, kind = F.coalesce(F.col(text_col), F.lit("")), F.col("document_type")
-    docs = docs.withColumn("_lines", lines_of(text))
-    lines = F.col("_lines")
-    invoice, financial = kind == "invoice", kind.isin("invoice", "receipt")
-    docs = docs.withColumns({"_dates": dates(text), "_n": F.when(invoice, invoice_number(lines)), "_t": F.when(financial, total_amount(lines, text))})
-    party_confidence = F.when(kind.isin("contract", "invoice"), 0.68).otherwise(0.58)
-    made = {
-        "primary_date": field(F.get("_dates", F.lit(0)), 0.76, "regex:date"), "dates": many(F.col("_dates"), 0.7, "regex:date"), "emails": many(emails(text), 0.88, "regex:email"),
-        "phone_numbers": many(phones(text), 0.75, "regex:phone"), "tax_codes": F.when(invoice, many(tax_codes(lines), 0.82, "regex:tax_code")), "total_amount": F.col("_t"),
-    }
-    for name, labels in L.PARTY_LABELS.items():
-        got = labelled(lines, labels)
-        made[name] = field(got["value"], party_confidence, f"line:{name}")
-    for name, (labels, confidence, source) in L.LOCAL_LABELS.items():
-        got = labelled(lines, labels)
-        late = F.when(invoice, field(got["value"], confidence, source))
-        before = F.col("_n") if name == "invoice_number" else made.get(name)
-        made[name] = F.coalesce(before, late) if before is not None else late
-    return docs.withColumns(made).drop("_lines", "_dates", "_n", "_t")
+    """Adds ``fields``: array of (field_name, f) of the fields found; needs ``document_type``.
+
+    All rules sit in one expression, so each runs once a row and nothing is shuffled.
+    """
+
+    def every(row: Column) -> Column:
+        text, kind, lines = row["text"], row["kind"], row["lines"]
+        invoice, financial = kind == "invoice", kind.isin("invoice", "receipt")
+        party_confidence = F.when(kind.isin("contract", "invoice"), 0.68).otherwise(0.58)
+        made = {
+            "primary_date": field(F.get(dates(text), F.lit(0)), 0.76, "regex:date"), "dates": many(dates(text), 0.7, "regex:date"), "emails": many(emails(text), 0.88, "regex:email"),
+            "phone_numbers": many(phones(text), 0.75, "regex:phone"), "tax_codes": F.when(invoice, many(tax_codes(lines), 0.82, "regex:tax_code")),
+            "total_amount": F.when(financial, total_amount(lines, text)), "invoice_number": F.when(invoice, invoice_number(lines)),
+        }
+        for name, labels in L.PARTY_LABELS.items():
+            made[name] = let(labelled(lines, labels), lambda got, name=name: field(got["value"], party_confidence, f"line:{name}"))
+        for name, (labels, confidence, source) in L.LOCAL_LABELS.items():
+            late = F.when(invoice, let(labelled(lines, labels), lambda got, c=confidence, o=source: field(got["value"], c, o)))
+            made[name] = F.coalesce(made[name], late) if name in made else late
+        return F.filter(F.array(*[F.struct(F.lit(n).alias("field_name"), made[n].alias("f")) for n in NAMES]), lambda x: x["f"].isNotNull())
+
+    row = let(F.coalesce(F.col(text_col), F.lit("")), lambda t: F.struct(t.alias("text"), F.col("document_type").alias("kind"), lines_of(t).alias("lines")))
+    return docs.withColumn("fields", let(row, every))
 
 
 NAMES = ["primary_date", "dates", "emails", "phone_numbers", "tax_codes", "invoice_number", "total_amount", "party_a", "party_b", "seller", "buyer", "invoice_form", "invoice_symbol", "payment_method", "amount_in_words", "seller_address", "buyer_address"]
 
 
+def get_field(fields: Column, name: str) -> Column:
+    return F.get(F.filter(fields, lambda x: x["field_name"] == name), F.lit(0))["f"]
+
+
 def long_fields(docs: DataFrame, *keys: str) -> DataFrame:
     """One row for each field found: keys, field_name and the field's parts."""
-    every = F.filter(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(n).alias("f")) for n in NAMES]), lambda x: x["f"].isNotNull())
-    return docs.select(*keys, F.explode(every).alias("x")).select(*keys, "x.field_name", "x.f.*")
+    return docs.select(*keys, F.explode("fields").alias("x")).select(*keys, "x.field_name", "x.f.*")
 
 
-def present(docs_fields: list[str] = NAMES) -> Column:
+def present(fields: Column) -> Column:
     """Names of the fields that a row has."""
-    return F.filter(F.array(*[F.when(F.col(n).isNotNull(), n) for n in docs_fields]), lambda x: x.isNotNull())
+    return F.transform(fields, lambda x: x["field_name"])
 
 
 def missing_required(kind: Column, have: Column) -> Column:
-    needed = F.coalesce(F.element_at(F.create_map(*[y for k, v in L.REQUIRED.items() for y in (F.lit(k), F.array(*[F.lit(x) for x in v]))]), kind), F.array().cast("array<string>"))
-    return F.array_except(needed, have)
+    none = F.array().cast("array<string>")
+    needed = lambda k: F.when(k == "invoice", F.array(*map(F.lit, L.REQUIRED["invoice"]))).when(k == "receipt", F.array(*map(F.lit, L.REQUIRED["receipt"]))).when(k == "contract", F.array(*map(F.lit, L.REQUIRED["contract"]))).otherwise(none)
+    return F.array_except(let(kind, needed), have)
 
 
 def warnings(kind: Column, have: Column, text: Column, low_words: Column) -> Column:
     """Array of (type, severity, detail). ``low_words``: (value, confidence) of words below the limit, in order."""
     w = lambda name, severity, detail=None: F.struct(F.lit(name).alias("type"), F.lit(severity).alias("severity"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
-    lacks = lambda name: ~F.array_contains(have, name)
-    single = F.filter(
-        F.array(
-            F.when(strip(text) == "", w("empty_text", "high")), F.when(kind.isin("invoice", "receipt") & lacks("total_amount"), w("missing_total_amount", "medium")),
-            F.when((kind == "invoice") & lacks("tax_codes"), w("missing_tax_code", "low")), F.when((kind == "invoice") & lacks("invoice_number"), w("missing_invoice_number", "medium")),
-        ), lambda x: x.isNotNull(),
-    )
+
+    def single(row: Column) -> Column:
+        kind, lacks = row["kind"], lambda name: ~F.array_contains(row["have"], name)
+        return F.filter(
+            F.array(
+                F.when(row["blank"], w("empty_text", "high")), F.when(kind.isin("invoice", "receipt") & lacks("total_amount"), w("missing_total_amount", "medium")),
+                F.when((kind == "invoice") & lacks("tax_codes"), w("missing_tax_code", "low")), F.when((kind == "invoice") & lacks("invoice_number"), w("missing_invoice_number", "medium")),
+            ), lambda x: x.isNotNull(),
+        )
+
     low = F.transform(F.slice(low_words, 1, 8), lambda x: w("low_confidence_word", "medium", F.concat(x["value"], F.lit(" "), F.format_number(x["confidence"], 2))))
-    return F.concat(single, low)
+    return F.concat(let(F.struct(kind.alias("kind"), have.alias("have"), (strip(text) == "").alias("blank")), single), low)
 
 
 def summary(kind: Column, text: Column, primary_date: Column, total: Column, number: Column) -> Column:
     """A sentence from type, date, total and number; without any of them, the first two lines."""
-    label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in L.SUMMARY_LABELS.items() for x in kv]), kind), F.lit("Tài liệu văn bản"))
-    money = F.trim(F.concat(F.lit("tổng tiền "), total["value"], F.lit(" "), F.coalesce(total["currency"], F.lit(""))))
-    parts = F.filter(F.array(F.concat(F.lit("ngày "), primary_date["value"]), money, F.concat(F.lit("số "), number["value"])), lambda x: x.isNotNull())
-    preview = F.substring(F.array_join(F.slice(F.transform(lines_of(text), lambda x: x["text"]), 1, 2), " "), 1, 220)
-    return F.when(F.size(parts) > 0, F.concat(label, F.lit(", "), F.array_join(parts, ", "), F.lit("."))).when(preview != "", preview).otherwise(F.concat(label, F.lit(".")))
+    labels = F.create_map(*[F.lit(x) for kv in L.SUMMARY_LABELS.items() for x in kv])
+
+    def say(row: Column) -> Column:
+        label, total = F.coalesce(F.element_at(labels, row["kind"]), F.lit("Tài liệu văn bản")), row["total"]
+        money = F.trim(F.concat(F.lit("tổng tiền "), total["value"], F.lit(" "), F.coalesce(total["currency"], F.lit(""))))
+        parts = F.filter(F.array(F.concat(F.lit("ngày "), row["day"]["value"]), money, F.concat(F.lit("số "), row["number"]["value"])), lambda x: x.isNotNull())
+        preview = F.substring(F.array_join(F.slice(F.transform(lines_of(row["text"]), lambda x: x["text"]), 1, 2), " "), 1, 220)
+        short = let(preview, lambda p: F.when(p != "", p).otherwise(F.concat(label, F.lit("."))))
+        return let(parts, lambda p: F.when(F.size(p) > 0, F.concat(label, F.lit(", "), F.array_join(p, ", "), F.lit("."))).otherwise(short))
+
+    return let(F.struct(kind.alias("kind"), text.alias("text"), primary_date.alias("day"), total.alias("total"), number.alias("number")), say)
 
 
 def looks_like_date(text: Column) -> Column:

@@ -1,4 +1,7 @@
-"""Named queries over the test tables, each with the SQL that gives the same rows."""
+"""Named queries over the test tables, each with SQL that gives the same rows where SQL can."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from quire.plans import text_queries
+
+_MODULES = [text_queries]
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
