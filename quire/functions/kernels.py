@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row: the optimiser copies a projected expression to each use, but not a generated one."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 GROUPS = "array<struct<total: double, n: int, members: array<int>>>"
 
 
@@ -21,8 +26,10 @@ def clusters(keys: Column, tolerance: Column) -> Column:
     The fold stays in the JVM; it costs keys times clusters, so it is meant for one page's lines.
     """
 
-    def place(state: Column, x: Column) -> Column:
-        near = F.array_position(F.transform(state["g"], lambda g: F.abs(x - g["total"] / g["n"]) <= tolerance), F.lit(True)).cast("int")
+    def place(state: Column, x: Column, tolerance: Column) -> Column:
+        return let(F.array_position(F.transform(state["g"], lambda g: F.abs(x - g["total"] / g["n"]) <= tolerance), F.lit(True)).cast("int"), lambda near: put(state, x, near))
+
+    def put(state: Column, x: Column, near: Column) -> Column:
         grown = F.transform(
             state["g"],
             lambda g, i: F.when(i + 1 == near, F.struct((g["total"] + x).alias("total"), (g["n"] + 1).alias("n"), F.concat(g["members"], F.array(state["i"])).alias("members"))).otherwise(g),
@@ -31,7 +38,7 @@ def clusters(keys: Column, tolerance: Column) -> Column:
         return F.struct(F.when(near > 0, grown).otherwise(fresh).cast(GROUPS).alias("g"), (state["i"] + 1).alias("i"))
 
     start = F.struct(F.array().cast(GROUPS).alias("g"), F.lit(0).alias("i"))
-    return F.aggregate(keys, start, place, lambda s: s["g"])
+    return let(tolerance, lambda t: F.aggregate(keys, start, lambda s, x: place(s, x, t), lambda s: s["g"]))
 
 
 def median(values: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,7 @@ def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, block, line, text, x1m, y1m, x2m, y2m): a title, a table and a total for each order."""
     i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    i = i.withColumn("l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     row = F.col("l_linenumber")
     y = (260 + 30 * row).cast("int")
@@ -116,11 +118,12 @@ lines AS (
 """
 
 LINES_SQL = """
-per AS (SELECT l_orderkey AS doc_id, max(l_linenumber) AS last, sum(round(l_extendedprice * 100)::BIGINT) AS cents FROM lineitem GROUP BY 1),
+items AS (SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice)::INT AS l_linenumber) FROM lineitem),
+per AS (SELECT l_orderkey AS doc_id, max(l_linenumber) AS last, sum(round(l_extendedprice * 100)::BIGINT) AS cents FROM items GROUP BY 1),
 body AS (
   SELECT l_orderkey AS doc_id, (10 * l_linenumber + c.n)::INT AS line, c.t AS text, c.a AS x1m, (260 + 30 * l_linenumber)::INT AS y1m, c.b AS x2m, (274 + 30 * l_linenumber)::INT AS y2m
   FROM (SELECT *, [{'n': 0, 't': l_linenumber::VARCHAR, 'a': 50, 'b': 65}, {'n': 1, 't': p_name, 'a': 110, 'b': 400}, {'n': 2, 't': format('{:.2f}', l_quantity), 'a': 520, 'b': 560},
-     {'n': 3, 't': '$' || format('{:,.2f}', p_retailprice), 'a': 640, 'b': 700}, {'n': 4, 't': format('{:,.2f}', l_extendedprice), 'a': 800, 'b': 880}] AS cs FROM lineitem JOIN part ON l_partkey = p_partkey), unnest(cs) AS u(c)),
+     {'n': 3, 't': '$' || format('{:,.2f}', p_retailprice), 'a': 640, 'b': 700}, {'n': 4, 't': format('{:,.2f}', l_extendedprice), 'a': 800, 'b': 880}] AS cs FROM items JOIN part ON l_partkey = p_partkey), unnest(cs) AS u(c)),
 head AS (
   SELECT doc_id, c.n AS line, c.t AS text, c.a AS x1m, c.y AS y1m, c.b AS x2m, c.y + c.h AS y2m
   FROM (SELECT *, [{'n': 1, 't': 'INVOICE', 'a': 400, 'b': 520, 'y': 40, 'h': 30}, {'n': 2, 't': 'Bill To', 'a': 60, 'b': 130, 'y': 90, 'h': 14}, {'n': 3, 't': 'Invoice No INV-' || doc_id, 'a': 620, 'b': 860, 'y': 90, 'h': 14},
