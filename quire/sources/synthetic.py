@@ -59,6 +59,7 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1, F.lit("INVOICE"), 400, 520, F.lit(40), 30), (2, F.lit("Bill To"), 60, 130, F.lit(90), 14), (3, F.concat(F.lit("Invoice No INV-"), F.col("doc_id").cast("string")), 620, 860, F.lit(90), 14),
         (4, F.lit("#"), 50, 65, F.lit(200), 14), (5, F.lit("Item & Description"), 110, 300, F.lit(200), 14), (6, F.lit("Qty"), 520, 560, F.lit(200), 14), (7, F.lit("Rate"), 640, 690, F.lit(200), 14), (8, F.lit("Amount"), 800, 880, F.lit(200), 14),
         (900, F.lit("Sub Total"), 640, 740, end, 14), (901, F.concat((F.col("cents") / 100).cast("decimal(18,2)").cast("string")), 800, 880, end, 14), (902, F.lit("Authorized signature"), 600, 800, end + 60, 14), (903, F.lit("Thank you for your business and see you again soon friend"), 100, 700, end + 120, 14),
+        (904, F.lit("Page 1"), 450, 520, end + 180, 14),
     ]
     head = per.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("line"), t.alias("text"), F.lit(a).alias("x1m"), top.alias("y1m"), F.lit(b).alias("x2m"), (top + h).alias("y2m")) for n, t, a, b, top, h in fixed])).alias("c")).select("doc_id", "c.*")
     return head.unionByName(body).select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("block"), "line", "text", "x1m", "y1m", "x2m", "y2m")
@@ -129,7 +130,7 @@ head AS (
   FROM (SELECT *, [{'n': 1, 't': 'INVOICE', 'a': 400, 'b': 520, 'y': 40, 'h': 30}, {'n': 2, 't': 'Bill To', 'a': 60, 'b': 130, 'y': 90, 'h': 14}, {'n': 3, 't': 'Invoice No INV-' || doc_id, 'a': 620, 'b': 860, 'y': 90, 'h': 14},
      {'n': 4, 't': '#', 'a': 50, 'b': 65, 'y': 200, 'h': 14}, {'n': 5, 't': 'Item & Description', 'a': 110, 'b': 300, 'y': 200, 'h': 14}, {'n': 6, 't': 'Qty', 'a': 520, 'b': 560, 'y': 200, 'h': 14}, {'n': 7, 't': 'Rate', 'a': 640, 'b': 690, 'y': 200, 'h': 14}, {'n': 8, 't': 'Amount', 'a': 800, 'b': 880, 'y': 200, 'h': 14},
      {'n': 900, 't': 'Sub Total', 'a': 640, 'b': 740, 'y': 320 + 30 * last, 'h': 14}, {'n': 901, 't': (cents / 100)::DECIMAL(18,2)::VARCHAR, 'a': 800, 'b': 880, 'y': 320 + 30 * last, 'h': 14}, {'n': 902, 't': 'Authorized signature', 'a': 600, 'b': 800, 'y': 380 + 30 * last, 'h': 14},
-     {'n': 903, 't': 'Thank you for your business and see you again soon friend', 'a': 100, 'b': 700, 'y': 440 + 30 * last, 'h': 14}] AS cs FROM per), unnest(cs) AS u(c)),
+     {'n': 903, 't': 'Thank you for your business and see you again soon friend', 'a': 100, 'b': 700, 'y': 440 + 30 * last, 'h': 14}, {'n': 904, 't': 'Page 1', 'a': 450, 'b': 520, 'y': 500 + 30 * last, 'h': 14}] AS cs FROM per), unnest(cs) AS u(c)),
 ocr_lines AS (SELECT doc_id, 1 AS page, 1 AS block, line::INT AS line, text, x1m::INT AS x1m, y1m::INT AS y1m, x2m::INT AS x2m, y2m::INT AS y2m FROM (SELECT * FROM head UNION ALL BY NAME SELECT * FROM body)),
 ocr_words AS (
   SELECT doc_id, page, block, line, i::INT AS word, w[i] AS text, ((line * 13 + (i - 1) * 7 + doc_id) % 100) / 100.0::DOUBLE AS confidence,
