@@ -8,8 +8,8 @@ give every coordinate.  Bands of ``rows`` coordinates, ``bands`` of them, bring
 Equal sets are one node.  Nodes that share a band are not paired with each other: each is compared with
 the band's leader, the member that shares most bands with most nodes.  What is linked to the leader
 needs no further comparison; then leaders of the other bands follow, and last, only inside bands that
-still hold several components, the members of different components.  So a band of n copies costs about n
-comparisons, and no link is given up.  Every link is confirmed on the full shingle sets.  Components are
+still hold several components, the members of different components, unless the shingles that a member has
+alone leave too few to share.  So a band of n copies costs about n comparisons, and no link is given up.  Every link is confirmed on the full shingle sets.  Components are
 found by hooking and pointer jumping over tables; neither links nor components come to the driver.
 
 Defined cases: null, empty and white-space texts have an empty set and are linked with nothing; a text
@@ -29,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quire.llm.common import drop_written, mix64, text_bytes, window_hashes, word_bounds, word_hashes, written
 
 _U, _V = np.uint64, np.uint32
+#: Holders up to which a shingle counts as rare, and members above which a band counts as large.  Neither drops a pair.
+FEW, LARGE = 8, 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -248,8 +251,29 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = 6, i
     at = member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else member.withColumn("comp", F.col("node"))
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     left = written(at.join(mixed, "key", "left_semi").select("key", "node", "n", "comp"))
-    x, y = left.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    cross = x.join(y, "key").filter(f"ca < cb AND {fits}").select("a", "b").distinct()
+    if not left.limit(1).count():
+        drop_written(member, led, sets, first, second, left)
+        return described, comps
+    # what a node shares with another is at most what isn't its own alone: most pairs fall to this before they are made
+    some = left.select("node", "n").distinct()
+    alone = _holders(sets.join(some, "node", "left_semi")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("few"))
+    able = some.join(alone, "node", "left").withColumn("o", F.col("n") - F.coalesce("few", F.lit(0))).filter(f"100 * o >= {percent} * n")
+    left2 = left.join(able.select("node", "o"), "node")
+    # a pair is made in the least band that it shares, not in each
+    left2 = written(left2.join(left2.groupBy("node").agg(F.collect_list("key").alias("keys")), "node"))
+    # in large bands the bound also leaves out shingles with few holders; pairs that share one of those are made from it
+    large = left2.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LARGE).select("key")
+    crowd = written(left2.join(large, "key", "left_semi").select("node", "n", "comp").distinct())
+    rare = written(_holders(sets.join(crowd, "node", "left_semi")).filter(F.col("c") <= FEW))
+    bound = crowd.join(rare.groupBy("node").agg(F.count(F.lit(1)).alias("few")), "node", "left").select("node", (F.col("n") - F.coalesce("few", F.lit(0))).alias("strict"))
+    left3 = left2.join(large.withColumn("big", F.lit(True)), "key", "left").join(bound, "node", "left").withColumn("o", F.when(F.col("big"), F.col("strict")).otherwise(F.col("o")))
+    x = left3.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("o").alias("oa"), F.col("keys").alias("ka"))
+    y = left3.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("o").alias("ob"), F.col("keys").alias("kb"))
+    reach = f"100 * least(oa, ob) >= {percent} * (na + nb - least(oa, ob))"
+    cross = x.join(y, "key").filter(f"ca < cb AND {reach} AND array_min(array_intersect(ka, kb)) = key").select("a", "b")
+    held = rare.filter("c > 1").join(crowd, "node")
+    u, v = held.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), held.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    cross = cross.unionByName(u.join(v, "shingle").filter(f"ca < cb AND {fits}").select("a", "b")).distinct()
     tested = led.select("a", "b").unionByName(led.select(F.col("b").alias("a"), F.col("a").alias("b")))
     third = written(cross.join(tested, ["a", "b"], "left_anti"))
     if third.limit(1).count():
@@ -257,10 +281,30 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = 6, i
         if links.limit(1).count():
             comps = _merged(comps, links)
         drop_written(links)
-    drop_written(member, led, sets, first, second, left, third)
+    drop_written(member, led, sets, first, second, left, left2, crowd, rare, third)
     return described, comps
 
 
+def _holders(sets: DataFrame) -> DataFrame:
+    """(shingle, c, node) of the shingles that at most FEW of the sets have; a row for each holder."""
+    schema = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("node", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                each = [np.frombuffer(x.as_py(), np.int64) for x in part.column("set")]
+                nodes = np.repeat(part.column("node").to_numpy(), [len(x) for x in each])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(nodes)], names=schema.names)
+
+    rows = sets.select("node", "set").mapInArrow(run, schema)
+    # only the first few holders are kept while counting, so that a common shingle costs no more than a rare one
+    w = Window.partitionBy("shingle").orderBy("node")
+    first = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= FEW + 1)
+    per = first.groupBy("shingle").agg(F.max("r").alias("c"), F.collect_list("node").alias("nodes")).filter(F.col("c") <= FEW)
+    return per.select("shingle", "c", F.explode("nodes").alias("node"))
+
+
 def _repeats(described: DataFrame) -> bool:
     return described.groupBy("id", "th").count().filter("count > 1").limit(1).count() > 0
 
