@@ -55,7 +55,7 @@ def split_inline(text: Column) -> Column:
 
 def is_label(text: Column) -> Column:
     def judge(c: Column) -> Column:
-        return let(squeeze(c), lambda n: (c != "") & (F.length(c) <= 45) & (has_any(n, _ALIASES) | known_label(n) | ((n_words(c) <= 5) & ~mostly_numeric(c) & hinted(n))))
+        return F.when((c == "") | (F.length(c) > 45), False).otherwise(let(squeeze(c), lambda n: has_any(n, _ALIASES) | known_label(n) | ((n_words(c) <= 5) & ~mostly_numeric(c) & hinted(n))))
 
     return let(strip(text, r" :\-#"), judge)
 
@@ -68,7 +68,8 @@ def is_standalone(text: Column) -> Column:
     """A label with no value on its own line."""
 
     def judge(c: Column) -> Column:
-        return let(squeeze(c), lambda n: is_label(c) & split_inline(text).isNull() & (n.isin(*_ALIASES) | known_label(n) | ((n_words(c) <= 4) & ~c.rlike(r"\d") & hinted(n))))
+        strict = let(squeeze(c), lambda n: n.isin(*_ALIASES) | known_label(n) | ((n_words(c) <= 4) & ~c.rlike(r"\d") & hinted(n)))
+        return F.when((c == "") | (F.length(c) > 45) | split_inline(text).isNotNull(), False).when(strict, is_label(c)).otherwise(False)
 
     return let(strip(text, r" :\-"), judge)
 

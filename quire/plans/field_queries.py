@@ -46,8 +46,8 @@ def kv_next_line(spark, sf_dir):
 
 @query(f"""WITH {LINES_SQL} SELECT doc_id, text AS label, (SELECT 1) AS page FROM ocr_lines WHERE line = 900""")
 def kv_row(spark, sf_dir):
-    p = K.page_pairs(pages(spark, sf_dir)).select("doc_id", F.explode(F.filter("pairs", lambda x: (x["source"] == "layout:same_row") & (x["label"] == "Sub Total"))).alias("p"))
-    return p.select("doc_id", "p.label", "p.page")
+    p = pages(spark, sf_dir).select("doc_id", F.explode(K.row_pairs(F.col("lines"), F.col("page"))).alias("p"))
+    return p.filter("p.label = 'Sub Total'").select("doc_id", "p.label", "p.page")
 
 
 @query()
