@@ -17,4 +17,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
     "op4_licenses": licenses.SQL,
+    "op5_near_dup": near_dup.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
 }

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import by_bucket, from_planes, group_count, grouped, planes, text_bytes, text_size, window_hashes, word_bounds, word_hashes
+from quire.llm.common import WORD, by_bucket, from_planes, group_count, grouped, planes, text_bytes, text_size, window_hashes, word_bounds, word_hashes
 
 _U = np.uint64
 _SENT = "bucket int, _group int, a binary, b binary, c binary, d binary"
@@ -235,3 +235,15 @@ def dedupe_substrings(docs: DataFrame, *, window: int = 20, id_col: str = "doc_i
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: words left in each document once runs of 20 words that stand earlier are removed."""
     return dedupe_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS l FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(l[i:i + 19], ' ')) AS k FROM w, unnest(range(1, len(l) - 18)) AS u(i)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM s),
+g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM f, unnest(range(i, i + 20)) AS u(p) WHERE r > 1 GROUP BY doc_id),
+t AS (SELECT w.doc_id, l, coalesce(gone, []) AS gone FROM w LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(l)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone, i)), lambda i: l[i]), ' '), '')) AS kept_sha256
+FROM t
+"""
