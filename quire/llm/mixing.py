@@ -68,7 +68,7 @@ def _invert(share: Column, knots: Column) -> Column:
     return F.least(F.lit(1.0), k["t"] + F.when(rest == 0, 0.0).otherwise(2.0 * rest / (k["w"] + root)))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), slopes: Sequence[float] = (0.5, 0.0, -0.5), *, share: float = 1.5, max_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_part: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), slopes: Sequence[float] = (0.5, 0.0, -0.5), *, in_order: bool = True, share: float = 1.5, max_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_part: int = 20_000) -> DataFrame:
     """All rows with size, source_size, target, copies (times the document is taken), taken, positions (of each copy) and position (of the first; null for none).
 
     Weights and slopes repeat over the sources in code point order, null last.  One row a source is held
@@ -97,31 +97,33 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), slopes: Sequence[
     ]))
     digits = max(1, math.ceil(math.log(max(2, sum(r["n"] for r in per) / rows_per_part), 16)))
     order = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.octet_length(text), F.lit(0)).cast("string")).cast("binary"))
-    keyed = sized.withColumns({f"{_P}order": order, f"{_P}tie": F.xxhash64(text)}).withColumn(f"{_P}part", F.substring(f"{_P}order", 1, digits))
+    # one key that is never null: the running sum and the join below deal rows out alike, so they move once
+    part = F.concat(F.coalesce(F.concat(F.lit("v"), source.cast("string")), F.lit("n")), F.lit(":"), F.substring(f"{_P}order", 1, digits))
+    keyed = sized.withColumns({f"{_P}order": order, f"{_P}tie": F.xxhash64(text)}).withColumn(f"{_P}part", part)
     parts = keyed.groupBy(source.alias(f"{_P}s"), f"{_P}part").agg(F.sum("size").alias(f"{_P}part_size"))
     before = Window.partitionBy(f"{_P}s").orderBy(f"{_P}part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn(f"{_P}before", F.coalesce(F.sum(f"{_P}part_size").over(before), F.lit(0))).drop(f"{_P}part_size")
-    inside = Window.partitionBy(source, f"{_P}part").orderBy(f"{_P}order", id_col, f"{_P}tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn(f"{_P}inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(parts.withColumnRenamed(f"{_P}part", f"{_P}part2"), placed[source_col].eqNullSafe(F.col(f"{_P}s")) & (placed[f"{_P}part"] == F.col(f"{_P}part2")), "left").drop(f"{_P}s", f"{_P}part2")
+    parts = parts.select(f"{_P}part", F.coalesce(F.sum(f"{_P}part_size").over(before), F.lit(0)).alias(f"{_P}before"))
+    inside = Window.partitionBy(f"{_P}part").orderBy(f"{_P}order", id_col, f"{_P}tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn(f"{_P}inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, f"{_P}part")
     placed = placed.join(F.broadcast(plan), placed[source_col].eqNullSafe(plan[f"{_P}s"]), "left")
     middle = F.col(f"{_P}before") + F.col(f"{_P}inside") + F.col("size") / F.lit(2.0)
     extra = (middle <= F.col(f"{_P}rest")) & (F.col("size") > 0)
     passes = F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda k: k.cast("double"))
     reached = lambda k: F.least((middle + k * F.col("source_size")) / F.col("target"), F.lit(1.0))
     times = F.transform(F.filter(passes, lambda k: k < F.col("copies")), lambda k: F.round(_invert(reached(k), F.col(f"{_P}knots")), 9))
-    return (
+    out = (
         placed.withColumn("copies", (F.col(f"{_P}full") + extra.cast("int")).cast("int"))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .withColumn("positions", times)
         .withColumn("position", F.get("positions", F.lit(0)))
         .drop(*[f"{_P}{c}" for c in ("s", "full", "rest", "knots", "order", "tie", "part", "before", "inside")])
-        .orderBy("position", id_col)
     )
+    return out.orderBy("position", id_col) if in_order else out
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """A row for each copy that the mix takes, range-sorted by its own position."""
+def repeated(docs: DataFrame, *args, **options) -> DataFrame:
+    """A row for each copy that the mix takes, range-sorted by its own position; arguments as for mix."""
+    mixed = mix(docs, *args, in_order=False, **options)
     return mixed.withColumn("position", F.explode("positions")).orderBy("position")
 
 

@@ -82,7 +82,7 @@ def train(texts: list[str], labels: list[int], shape: Shape = Shape()) -> np.nda
         times = np.bincount(word, minlength=int(owner.max()) + 1 if len(owner) else 0)[owner]
         ids, inverse = np.unique(np.r_[slot, _END_MARK, _REPEAT], return_inverse=True)
         weight = np.bincount(inverse, np.r_[times, 1, again.sum()])
-        rows.append((ids, weight / weight.sum()))
+        rows.append((ids.astype(np.int32), (weight / weight.sum()).astype(np.float32)))
     y = np.array(labels)
     share = np.bincount(y, minlength=2) / max(1, len(y))
     steps, done = max(1, shape.epochs * len(rows)), 0
@@ -103,7 +103,7 @@ def train(texts: list[str], labels: list[int], shape: Shape = Shape()) -> np.nda
     return vectors @ (out[1] - out[0])
 
 
-def score_texts(column: pa.Array, part: np.ndarray, shape: Shape, block: int = 4 << 20) -> np.ndarray:
+def score_texts(column: pa.Array, part: np.ndarray, shape: Shape, block: int = 1 << 20) -> np.ndarray:
     """Chance of label 1 for each text, a bounded block of texts at a time."""
     data, offsets = text_bytes(column)
     out = np.empty(len(offsets) - 1)
@@ -131,11 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train([t or "" for t in rows["t"].to_pylist()], rows["y"].to_pylist(), shape)
 
 
-def score(docs: DataFrame, part: np.ndarray, *, text_col: str = "text", threshold: float = 0.7, shape: Shape = Shape()) -> DataFrame:
+def score(docs: DataFrame, part: np.ndarray, *, text_col: str = "text", threshold: float = 0.7, shape: Shape = Shape(), score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """All rows with score and predicted (1 if score >= threshold)."""
-    docs = docs.drop(*[c for c in ("score", "predicted") if c in docs.columns])
+    docs = docs.drop(*[c for c in (score_col, predicted_col) if c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(part)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

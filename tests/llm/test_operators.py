@@ -97,7 +97,7 @@ def test_mixing(docs, rows, odd, empty):
     assert order == sorted(order)
     assert sorted(map(str, mixing.mix(docs.repartition(2)).collect())) == sorted(map(str, got))
     assert mixing.mix(odd).count() == 7 and mixing.mix(empty).count() == 0
-    copies = mixing.repeated(mixing.mix(docs))
+    copies = mixing.repeated(docs)
     assert copies.count() == sum(r.copies for r in got)
 
 
