@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm import decontamination, mixing, near_dup, quality, sharding
 from quire.llm.common import drop_written, written
@@ -12,8 +11,8 @@ from quire.llm.common import drop_written, written
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier gives less than an even chance of being good."""
     part = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs.withColumn("_quire_row", F.struct(*docs.columns)).select("_quire_row", "text"), part, threshold=0.5)
-    return scored.filter("predicted = 1").select("_quire_row.*")
+    scored = quality.score(docs, part, threshold=0.5, score_col="_quire_score", predicted_col="_quire_good")
+    return scored.filter("_quire_good = 1").select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +27,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source's documents as often as its target asks, in training order."""
-    return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
+    return mixing.repeated(docs).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
