@@ -1,9 +1,10 @@
 """Licence scans by sentence rules, with DataFrame functions alone.
 
-Texts are cut into sentences, once with a line end as a sentence's end and once with line ends as
-spaces (licence texts are often wrapped).  A normalised sentence (lower case, letters and digits, single
-spaces) that is known has an identifier.  The identifiers of a document, in order, are matched against
-rules, each an ordered run of identifiers.
+Texts are cut into sentences, once with a line end as a sentence's end, once with line ends as spaces
+(licence texts are often wrapped), and once with blank lines alone as ends (titles and copyright lines have
+no full stop).  A normalised sentence (lower case, letters and digits, single spaces) that is known has an
+identifier.  The identifiers of a document, in order, are matched against rules, each an ordered run of
+identifiers.  ``PIECES`` holds what the cutting makes of sentences with a colon, semicolon or full stop inside.
 
 Defined cases: a null or empty text has no sentences and no licence; repeated rows and null ids come
 back as they are; an empty table gives no rows; other columns pass through, and a column named like an
@@ -73,13 +74,35 @@ RULES = {
     "MPL-2.0": [["mpl-subject"]],
     "Unlicense": [["unlicense-free", "unlicense-anyone"]],
 }
-_NUMBER = {name: i + 1 for i, name in enumerate(SENTENCES)}
+# Sentences that the cutting makes of the notices of the GPL and MPL, and a second form of the ISC's; not in the SQL.
+PIECES = {
+    "gpl-free-head": "this program is free software",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-either-2": "either version 2 of the license or at your option any later version",
+    "gpl-either-3": "either version 3 of the license or at your option any later version",
+    "gpl-terms-2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-terms-3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-hope-head": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-hope-rest": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "mpl-subject-head": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-version": "2 0",
+    "isc-as-is-isc": "the software is provided as is and isc disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+}
+_GPL_REST = ["gpl-hope-head", "gpl-hope-rest", "gpl-see"]
+PIECE_RULES = {
+    "GPL-2.0-or-later": [["gpl-free-head", "gpl-terms", "gpl-either-2", *_GPL_REST], ["gpl-free-head", "gpl-terms-2", *_GPL_REST]],
+    "GPL-3.0-or-later": [["gpl-free-head", "gpl-terms", "gpl-either-3", *_GPL_REST], ["gpl-free-head", "gpl-terms-3", *_GPL_REST]],
+    "ISC": [["isc-grant", "isc-as-is-isc"]],
+    "MPL-2.0": [["mpl-subject-head", "mpl-version"]],
+}
+_NUMBER = {name: i + 1 for i, name in enumerate(SENTENCES | PIECES)}
 _BREAK, _LIST_MARK = r"[.!?:;]+(?:\s+|$)", r"(?m)^\s*(?:[0-9]{1,2}[.)]|[*-])\s+"
+_BLANK = r"\n(?:[^a-z0-9\n]*\n)+"
 
 
 def _runs(lines: Column) -> Column:
     """',3,4,0,7,': the identifiers of normalised sentences, 0 for one that isn't known."""
-    known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, str(_NUMBER[name]))])
+    known = F.create_map(*[F.lit(x) for name, s in (SENTENCES | PIECES).items() for x in (s, str(_NUMBER[name]))])
     return F.concat(F.lit(","), F.array_join(F.transform(lines, lambda s: F.coalesce(F.try_element_at(known, F.trim(s)), F.lit("0"))), ","), F.lit(","))
 
 
@@ -91,17 +114,27 @@ def _found(runs: list[Column], rules: list[list[str]]) -> Column:
     return out
 
 
+def _plain(text: Column) -> Column:
+    """Lower-case letters and digits, with line ends and a bar where a sentence ends."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _LIST_MARK, "\n"), _BREAK, "|"), r"[^a-z0-9\n|]+", " ")
+
+
+def _unwrapped(plain: Column) -> Column:
+    return _runs(F.split(F.regexp_replace(plain, r"[\n ]+", " "), r"\|[| ]*"))
+
+
 def scan_licenses(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """All rows with licenses (sorted SPDX names), n_license_sentences and has_license."""
     docs = docs.drop(*[c for c in ("licenses", "n_license_sentences", "has_license") if c in docs.columns])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), _LIST_MARK, "\n"), _BREAK, "|"), r"[^a-z0-9\n|]+", " ")
-    out = docs.withColumn("_quire_plain", plain).withColumn("_quire_lines", _runs(F.split("_quire_plain", r"[\n|][\n| ]*")))
-    out = out.withColumn("_quire_wrapped", _runs(F.split(F.regexp_replace("_quire_plain", r"[\n ]+", " "), r"\|[| ]*")))
-    runs = [F.col("_quire_lines"), F.col("_quire_wrapped")]
-    names = F.filter(F.array(*[F.when(_found(runs, r), F.lit(name)) for name, r in RULES.items()]), lambda x: x.isNotNull())
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    out = docs.withColumn("_quire_plain", _plain(text)).withColumn("_quire_lines", _runs(F.split("_quire_plain", r"[\n|][\n| ]*")))
+    out = out.withColumn("_quire_wrapped", _unwrapped(F.col("_quire_plain")))
+    # without a blank line the paragraphs are what is wrapped
+    out = out.withColumn("_quire_paragraphs", F.when(text.rlike(_BLANK), _unwrapped(_plain(F.regexp_replace(text, _BLANK, "|\n")))).otherwise(F.lit("")))
+    runs = [F.col("_quire_lines"), F.col("_quire_wrapped"), F.col("_quire_paragraphs")]
+    names = F.filter(F.array(*[F.when(_found(runs, r + PIECE_RULES.get(name, [])), F.lit(name)) for name, r in RULES.items()]), lambda x: x.isNotNull())
     n = F.greatest(*[F.regexp_count(r, F.lit("[1-9][0-9]*")) for r in runs])
-    return out.withColumns({"licenses": names, "n_license_sentences": n, "has_license": F.size(names) > 0}).drop("_quire_plain", "_quire_lines", "_quire_wrapped")
+    return out.withColumns({"licenses": names, "n_license_sentences": n, "has_license": F.size(names) > 0}).drop("_quire_plain", "_quire_lines", "_quire_wrapped", "_quire_paragraphs")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

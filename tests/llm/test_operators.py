@@ -215,6 +215,134 @@ def test_licenses_need_the_whole_rule_in_order(spark):
     assert [r.licenses for r in got] == [["MIT"], [], [], ["BSD-2-Clause", "BSD-3-Clause"], ["BSD-2-Clause"], ["BSD-2-Clause"]]
 
 
+WRAPPED = {
+    "Apache-2.0": """   Copyright 2020 Some One
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+""",
+    "BSD-2-Clause": """BSD 2-Clause License
+
+Copyright (c) 2020, Some One
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+""",
+    "CC-BY-4.0": "My Notes\n\nThis work is licensed under a Creative Commons Attribution 4.0\nInternational License.\n",
+    "CC-BY-NC-4.0": "My Notes\n\nThis work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.\n",
+    "CC-BY-SA-4.0": "My Notes\n\nThis work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.\n",
+    "CC0-1.0": "My Notes\n\nLicensed under\nCC0 1.0\n\nSome One",
+    "GPL-2.0-or-later": """Copyright (C) 2020  Some One
+
+    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    "GPL-3.0-only": "My Notes\n\nThis work is licensed under the GNU General Public\nLicense, version 3.\n",
+    "GPL-3.0-or-later": """/*
+ * Copyright (C) 2020  Some One
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+""",
+    "ISC": """ISC License
+
+Copyright (c) 2004-2010 by Internet Systems Consortium, Inc. ("ISC")
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND ISC DISCLAIMS ALL WARRANTIES WITH REGARD
+TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS.
+""",
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+""",
+}
+WRAPPED["BSD-3-Clause"] = WRAPPED["BSD-2-Clause"].replace("2-Clause", "3-Clause").replace(
+    "\nTHIS SOFTWARE",
+    """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE""",
+)
+
+
+def test_licenses_of_wrapped_texts(spark):
+    assert set(WRAPPED) == set(licenses.RULES)
+    data = [(n, e.join(t.split("\n"))) for n, t in WRAPPED.items() for e in ("\n", "\r\n")]
+    got = [(r.name, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(data, "name string, text string")).collect()]
+    assert len(got) == 28
+    assert got == [(n, ["BSD-2-Clause", n] if n == "BSD-3-Clause" else [n]) for n, _ in got]
+
+
 def brute_groups(rows, width, percent):
     sets = {}
     for i, t, _ in rows:
