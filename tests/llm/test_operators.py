@@ -170,6 +170,31 @@ def test_lm_chances_add_up_and_windows_cover(spark):
     assert whole[0] == pytest.approx(total, rel=1e-4)
 
 
+def unit_ids(model, pieces, texts):
+    """Units of each text."""
+    import pyarrow as pa
+
+    data, offsets = lm.text_bytes(pa.chunked_array([texts]))
+    start, end, doc = lm.word_bounds(data, offsets)
+    hashes, first, word = np.unique(lm.word_hashes(data, start, end, lower=True), return_index=True, return_inverse=True)
+    flat, edge, _ = model.units(data, start, end, hashes, first, pieces)
+    units, cut = lm.spread(flat, edge, word, doc, len(texts))
+    return [tuple(units[a:b].tolist()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def test_lm_units_tell_word_breaks():
+    import public_tokenizers
+    import pyarrow as pa
+
+    pieces = lm.Pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    texts = ["un happiness", "unhappiness", "u n happiness", "a bc", "ab c", "abc", "a b c", "12 3", "123", "x$ y", "x $y", "x$y", "it 's", "it's", "é é", "éé"]
+    model = lm.train(pa.chunked_array([texts]), [], 30, len(texts), pieces, lm.Shape(words=8, pieces=256, clusters=4, dim=4, hidden=4, window=6, stride=4, epochs=1))
+    assert len(set(unit_ids(model, pieces, texts))) == len(texts)
+    encode = pieces._code
+    for w in ("unhappiness", "x$y", "12½", "家é"):
+        assert encode.decode(pieces.ids([w.encode()])[0]) == " " + w
+
+
 def test_lm_gradient():
     import public_tokenizers
     import pyarrow as pa
