@@ -195,6 +195,52 @@ def test_lm_units_tell_word_breaks():
         assert encode.decode(pieces.ids([w.encode()])[0]) == " " + w
 
 
+def test_lm_chunks_hold_every_unit_once():
+    import public_tokenizers
+    import pyarrow as pa
+
+    pieces = lm.Pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    texts = [" ".join(f"w{i % 7}" for i in range(50)), "", None, "one", "Tab\tand\nline  é end"]
+    shape = lm.Shape(words=8, pieces=64, clusters=4, dim=4, hidden=4, window=6, stride=4, epochs=1)
+    column = pa.chunked_array([texts])
+    model = lm.train(column, [], 60, 5, pieces, shape)
+    data, offsets = lm.text_bytes(column)
+    start, end, doc = lm.word_bounds(data, offsets)
+    lines = lm._chunks(data, offsets, start, end, doc, np.ones(5, bool), np.arange(5), 1.0, 4)
+    assert len(lines) == 13 + 1 + 1 + 1 + 2
+    before, after = lm._chunk_units(lines, model, pieces)
+    whole = unit_ids(model, pieces, texts)
+    assert Counter(zip(before.tolist(), after.tolist(), strict=True)) == Counter(p for u in whole for p in zip((0, *u), u, strict=False))
+
+
+def test_lm_learns_from_more_when_there_is_more(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghé") for _ in range(r.randint(2, 8))) for _ in range(200)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in [6000] + [40] * 300]
+    seen, fitted, outline, fit = [], [], lm._outline, lm._fitted
+    monkeypatch.setattr(lm, "_outline", lambda top, docs, s, shape: seen.append((top, s)) or outline(top, docs, s, shape))
+    monkeypatch.setattr(lm, "_fitted", lambda *a: fitted.append(fit(*a)))
+    shape = lm.Shape(words=16, pieces=16, clusters=4, dim=4, hidden=4, window=6, stride=4, epochs=1, chunk=8)
+    for copies in (1, 4):
+        data = [(i + 1000 * c, t) for c in range(copies) for i, t in enumerate(texts)]
+        d = spark.createDataFrame(data, "doc_id long, text string")
+        assert lm.score(d, F.lit(True), path, shape=shape, fit_share=4, fit_bytes=1, group_bytes=20_000).count() == len(data)
+        count, pieces = Counter(w for _, t in data for w in words(t)), lm.Pieces(path)
+        top, got = seen[-1]
+        assert sorted(c for _, c in top) == sorted(count.values())[-13:]
+        known = {h for h, _ in top}
+        expected = np.zeros(pieces.size)
+        for w, c in count.items():
+            raw = np.frombuffer(w.encode(), np.uint8)
+            if int(lm.word_hashes(raw, np.array([0]), np.array([len(raw)]), lower=True)[0]) not in known:
+                np.add.at(expected, pieces.ids([w.encode()])[0], c)
+        assert (got == expected).all()
+    assert 3 < fitted[1] / fitted[0] < 5
+
+
 def test_lm_gradient():
     import public_tokenizers
     import pyarrow as pa
