@@ -5,6 +5,8 @@ hash lowest).  Every vector is indexed: it goes to its nearest centroid, and its
 nearest codeword of each subspace.  A query visits the ``probes`` cells whose centroids have the largest
 inner product with it; in a cell, tables of inner products between the query's parts and the codewords
 rank all codes, and the best ``rerank`` are scored exactly, in double precision, on the vectors themselves.
+So are all others of the part that could still be among the k: those whose rank value lies no further below the
+k-th exact score than the largest error that the exact scores of this query and part have shown.
 
 Cells are packed into parts of bounded size, and a large cell is dealt over several, so no task holds a hot cell.  Equal vectors tie, and
 of ties only the smallest ids can be answers: of each distinct vector the k + 1 smallest ids are searched,
@@ -107,7 +109,7 @@ def _smallest(rows: DataFrame, k: int) -> DataFrame:
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", cells: int | None = None, probes: int | None = None, parts: int = 16, rerank: int = 100, fit_rows: int = 20_000, part_rows: int = 4096, query_block: int = 128) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", cells: int | None = None, probes: int | None = None, parts: int = 16, rerank: int = 400, fit_rows: int = 20_000, part_rows: int = 4096, query_block: int = 128) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by inner product, its own id left out."""
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vec_col)
@@ -174,16 +176,22 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str =
                 np.put_along_axis(seen, index.value.visit(y, probes), True, axis=1)
                 guess[~seen[:, cell]] = -np.inf
                 best = np.argpartition(-guess, r - 1, axis=1)[:, :r]
+                guessed = np.take_along_axis(guess, best, axis=1)
                 exact = (x[best] * y[:, None, :]).sum(axis=2)
-                exact[~np.isfinite(np.take_along_axis(guess, best, axis=1))] = -np.inf
+                exact[~np.isfinite(guessed)] = -np.inf
                 # k + 1 vectors, and all that tie with the last: one may be the query's own
                 keep = min(k, r - 1)
                 least = -np.partition(-exact, keep, axis=1)[:, keep]
+                error = np.abs(np.subtract(exact, guessed, out=np.zeros_like(exact), where=np.isfinite(guessed))).max(axis=1)
+                np.put_along_axis(guess, best, -np.inf, axis=1)
+                c, more = np.nonzero((guess >= (least - error)[:, None]) & np.isfinite(guess))
+                late = np.concatenate([(x[more[o : o + 65536]] * y[c[o : o + 65536]]).sum(axis=1) for o in range(0, len(c), 65536)] or [np.zeros(0)])
                 a, b = np.nonzero((exact >= least[:, None]) & np.isfinite(exact))
-                j = best[a, b]
+                exact, j, near = exact[a, b], best[a, b], late >= least[c]
+                a, j, exact = np.r_[a, c[near]], np.r_[j, more[near]], np.r_[exact, late[near]]
                 times = edge[j + 1] - edge[j]
                 at = np.repeat(edge[j], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                near, asker, score = flat[at], np.repeat(qid[a], times), np.repeat(exact[a, b], times)
+                near, asker, score = flat[at], np.repeat(qid[a], times), np.repeat(exact, times)
                 other = near != asker
                 qids.append(asker[other])
                 near_ids.append(near[other])

@@ -516,6 +516,24 @@ def test_ann_recall_and_ties(spark):
     assert ann.search(few, few.filter("vec_id = 0")).count() == 2
 
 
+def test_ann_recall_in_a_dense_group(spark):
+    """A third of the rows within 1 % of each other, more of them in a part than are ranked exactly at first."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((9000, 32))
+    x[:3000] = x[0] / np.linalg.norm(x[0]) + 0.01 / math.sqrt(32) * r.standard_normal((3000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for q in ann.search(v, v.filter("vec_id < 3000 and vec_id % 100 = 0"), cells=4, probes=4).collect():
+        got[q.query_id].add(q.vec_id)
+    y, right = x.astype(float), 0
+    for i in range(0, 3000, 100):
+        s = y @ y[i]
+        s[i] = -np.inf
+        right += len(set(np.argsort(-s)[:20].tolist()) & got[i])
+    assert len(got) == 30 and right >= 0.99 * 600
+
+
 def edit_distance_within(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
