@@ -12,13 +12,14 @@ in the document itself.  The items are a stated query set: they are shipped in b
 ``block_bytes``, and documents are read once a block.
 
 Defined cases: null and empty texts are clean; null or empty items match nothing; items shorter than
-``min_chars`` match only word for word; repeated items each count; null ids and repeated rows come back
+``min_chars`` match only word for word, never inside a longer word; repeated items each count; null ids and repeated rows come back
 as they are; no items or no documents give a defined empty result; other columns pass through, and a
 column named like an output gives way.  Whole texts are scanned.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -90,6 +91,28 @@ def align(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int]
     return (int(cost[end]), int(begin[end]), end) if cost[end] <= k else None
 
 
+#: Scripts that put no space between words: a neighbour of these joins nothing.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _joins(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word."""
+    return a.isalnum() and b.isalnum() and not _UNSPACED.match(a) and not _UNSPACED.match(b)
+
+
+def _whole(raw: bytes, needle: bytes, start: int, end: int, low: int, high: int) -> int:
+    """The first place of the needle from start to end that begins and ends with words of raw[low:high], -1 if none."""
+    text = needle.decode("utf-8", "replace")
+    p = raw.find(needle, start, end)
+    while p >= 0:
+        e = p + len(needle)
+        left, right = raw[max(low, p - 4) : p].decode("utf-8", "ignore")[-1:], raw[e : min(high, e + 4)].decode("utf-8", "ignore")[:1]
+        if not _joins(left, text[0]) and not _joins(text[-1], right):
+            return p
+        p = raw.find(needle, p + 1, end)
+    return -1
+
+
 def _reached(doc, item, band, place, at, bound) -> list[tuple[int, int, int]]:
     """(text, item, band) that share enough q-grams; one that stands in several places counts once."""
     if not len(doc):
@@ -205,7 +228,13 @@ class Items:
             got = spans.setdefault((d, i), [])
             if any(x[0] <= a + w and z - w <= x[1] + w for x in got if x[2] == 0):
                 continue
-            p = plain[a:z].tobytes().find(self.plain[i].tobytes())
+            needle = self.plain[i].tobytes()
+            if self.size[i] < self.min_chars:
+                near, c = max(lo, a - 4), min(hi, z + 4)
+                p = _whole(plain[near:c].tobytes(), needle, a - near, z - near, 0, c - near)
+                p = p - (a - near) if p >= 0 else -1
+            else:
+                p = plain[a:z].tobytes().find(needle)
             hit = (0, p, p + int(self.size[i])) if p >= 0 else align(self.plain[i], plain[a:z], int(self.k[i])) if self.k[i] else None
             if hit:
                 got.append((a + hit[1], a + hit[2], hit[0]))
@@ -225,7 +254,8 @@ def _short(items: Items, data: np.ndarray, offsets: np.ndarray, out: list[list])
     for i in np.flatnonzero((items.size > 0) & (items.size < items.q)):
         raw, needle = plain_bytes(data).tobytes(), items.plain[i].tobytes()
         for d in range(len(offsets) - 1):
-            p = raw.find(needle, offsets[d], offsets[d + 1])
+            low, high = int(offsets[d]), int(offsets[d + 1])
+            p = _whole(raw, needle, low, high, low, high)
             if p >= 0:
                 out[d].append((items.ids[i], int(p - offsets[d]), int(p - offsets[d] + len(needle)), 0))
 

@@ -568,6 +568,15 @@ def test_decontamination(spark, docs, rows, odd, empty):
     assert {x.doc_id: {s.item_id for s in x.spans} for x in small.collect()} == expected
 
 
+def test_short_items_match_whole_words(spark):
+    bench = spark.createDataFrame([(1, "art"), (2, "artful dodger"), (3, "é"), (4, "家")], "item_id long, text string")
+    texts = ["start", "starting an artful dodgers", "the start of Art.", "parts art3", "“art”", "an artful dodgers, artful dodger", "café", "a é b", "国家人", "art", "xartful dodger", "arté éart", ""]
+    got = decontamination.find_items(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    found = {r.doc_id: {s.item_id for s in r.spans} for r in got}
+    assert found == {0: set(), 1: set(), 2: {1}, 3: set(), 4: {1}, 5: {2}, 6: set(), 7: {3}, 8: {4}, 9: {1}, 10: set(), 11: set(), 12: set()}
+    assert [(s.item_id, s.start, s.end) for r in got if r.doc_id in (2, 5) for s in r.spans] == [(1, 13, 16), (2, 19, 32)]
+
+
 def brute_substrings(rows, window):
     seen, out = set(), {}
     for i, t, _ in sorted(rows, key=lambda x: x[0]):
