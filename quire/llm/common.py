@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import atexit
 import math
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -156,15 +158,19 @@ def grouped(docs: DataFrame, groups: int, *keys: str) -> DataFrame:
     return docs.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")).repartition(groups, "_group")
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; only where it is unset (tests), one of our own."""
+    """The folder that the cluster names; only where it is unset and all runs in one process (tests), one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="quire-"))
+    return _own_dir[0]
 
 
 _written: list[tuple[SparkSession, str]] = []
@@ -182,6 +188,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     while _written:
         _remove(*_written.pop())
+    while _own_dir:
+        shutil.rmtree(_own_dir.pop(), ignore_errors=True)
 
 
 def written(df: DataFrame, *, spark: SparkSession | None = None) -> DataFrame:
@@ -203,6 +211,12 @@ def drop_written(*tables: DataFrame | None) -> None:
             _written[:] = [x for x in _written if x[1] != path]
 
 
+def whole_ids(df: DataFrame, id_col: str) -> None:
+    """Ids that are packed as 64-bit numbers have to be whole numbers."""
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} must be a whole number, not {df.schema[id_col].dataType.simpleString()}")
+
+
 def crc_bucket(column: Column, n: int) -> Column:
     """crc32 of a number as text, modulo n; null stays null."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))

@@ -534,6 +534,45 @@ def test_ann_recall_in_a_dense_group(spark):
     assert len(got) == 30 and right >= 0.99 * 600
 
 
+def test_ann_gives_k_whenever_there_are_candidates(spark):
+    """Cells that one probe misses hold nearly all vectors; many blocks of queries and parts of few rows give the same."""
+    x = np.random.default_rng(1).standard_normal((100, 16))
+    x[8:] = x[8]
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    for options in ({"probes": 1}, {"probes": 1, "cells": 5}, {"cells": 5, "probes": 5, "part_rows": 2, "block_rows": 10}):
+        got = defaultdict(list)
+        for r in ann.search(v, v.filter("vec_id < 50"), **options).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r["rank"], r.vec_id))
+        assert len(got) == 50 and all([a for a, _ in g] == list(range(1, 21)) for g in got.values())
+    for i in range(50):  # all cells visited: exact
+        s = np.round(x @ x[i], 9)
+        assert [j for _, j in got[i]] == sorted((j for j in range(100) if j != i), key=lambda j: (-s[j], j))[:20]
+    twice = v.filter("vec_id < 30").unionByName(spark.createDataFrame([(0, (-x[2]).tolist()), (3, x[3].tolist())], "vec_id long, embedding array<double>"))
+    got = ann.search(twice, twice.filter("vec_id = 0"), probes=1).collect()
+    assert len(got) == 20 and all(r.vec_id != 0 for r in got)
+    with pytest.raises(ValueError):
+        ann.search(v.withColumn("vec_id", F.col("vec_id").cast("string")), v)
+
+
+def test_ann_recall_on_the_test_table(spark):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    ids, x = t.column("vec_id").to_numpy(), np.array(t.column("embedding").to_pylist(), float)
+    got, right = defaultdict(list), 0
+    for r in ann.query(spark, "/root/testdata/sf0.01").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    asked = [i for i in range(len(ids)) if ids[i] % 20 == 0]
+    assert set(got) == {ids[i] for i in asked} and all(len(g) == 20 for g in got.values())
+    place = {int(v): i for i, v in enumerate(ids)}
+    for i in asked:
+        s = x @ x[i]
+        assert all(c == pytest.approx(s[place[b]], abs=1e-12) for _, b, c in got[ids[i]])
+        s[i] = -np.inf
+        right += len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & {b for _, b, _ in got[ids[i]]})
+    assert right >= 0.95 * 20 * len(asked)
+
+
 def edit_distance_within(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
