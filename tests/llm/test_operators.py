@@ -129,6 +129,43 @@ def test_sharding_splits_one_hot_group(spark):
     assert len(fill) == 4 and max(r.b for r in fill) < 1.1 * min(r.b for r in fill)
 
 
+@pytest.mark.parametrize("doc_id", ["cast(7 as long)", "cast(null as long)"])
+def test_sharding_splits_equal_rows(spark, doc_id):
+    """Rows that no key tells apart: alone, and as a third of a table; wholly equal ones and ones with other columns."""
+    same = spark.range(400).select(F.expr(doc_id).alias("doc_id"), F.lit("same text").alias("text"), F.lit("old").alias("shard"), (F.col("id") % 3).alias("other")).repartition(5)
+    for t in (same.drop("other"), same):
+        got = sharding.shard(t, 8).collect()
+        assert sorted(Counter(r.shard for r in got).values()) == [50] * 8
+        assert all(sorted(r.slot for r in got if r.shard == s) == list(range(50)) for s in range(8))
+        if t is same:
+            assert sorted(Counter(r.other for r in got).values()) == [133, 133, 134]
+    mixed = same.drop("other", "shard").unionByName(spark.range(800).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 500).alias("text")))
+    got = sharding.shard(mixed, 8).collect()
+    fill = Counter()
+    for r in got:
+        fill[r.shard] += len(r.text) + 16
+    assert len(got) == 1200 and len(fill) == 8 and max(fill.values()) < 1.05 * min(fill.values())
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in Counter(r.shard for r in got).items())
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in mixed.collect())
+
+
+def test_sharding_query_keeps_its_law(spark, tmp_path):
+    import duckdb
+
+    sharding.query(spark, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/out")
+    sql = """
+    WITH r AS (SELECT * FROM read_parquet('{0}/out/*.parquet')), d AS (SELECT doc_id, coalesce(strlen(text), 0) + 16 AS size FROM '/root/testdata/sf0.001/documents.parquet'),
+    s AS (SELECT shard, sum(size) AS b, count(*) AS n, count(DISTINCT slot) AS slots, min(slot) AS lo, max(slot) AS hi FROM r GROUP BY shard)
+    SELECT (SELECT count(*) FROM r JOIN d USING (doc_id, size)) = (SELECT count(*) FROM d) AND (SELECT count(*) FROM r) = (SELECT count(*) FROM d),
+           (SELECT bool_and(n = slots AND lo = 0 AND hi = n - 1 AND shard BETWEEN 0 AND 39) FROM s),
+           (SELECT max(b) - sum(b) / 40 FROM s) <= (SELECT max(size) FROM d),
+           (SELECT bool_and(law = 'bytes' AND grown_shard IS NULL) FROM r)
+    """.format(tmp_path)
+    assert duckdb.sql(sql).fetchall() == [(True, True, True, True)]
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+
 def test_lm_scores(spark, docs, rows, empty):
     import public_tokenizers
 
@@ -603,8 +640,34 @@ def test_decontamination(spark, docs, rows, odd, empty):
     assert clean.columns == docs.columns and clean.count() == len(rows)
     assert decontamination.find_items(odd, bench).count() == 7 and decontamination.find_items(empty, bench).count() == 0
     assert decontamination.find_items(docs, bench.limit(0)).filter(F.size("spans") > 0).count() == 0
-    small = decontamination.find_items(spark.createDataFrame(dirty, "doc_id long, text string"), bench, block_bytes=300)
-    assert {x.doc_id: {s.item_id for s in x.spans} for x in small.collect()} == expected
+    whole = decontamination.find_items(spark.createDataFrame(dirty, "doc_id long, text string"), bench)
+    for size in (450, 300, 60):  # some blocks of two or three items, then of one
+        small = decontamination.find_items(spark.createDataFrame(dirty, "doc_id long, text string"), bench, block_bytes=size)
+        assert sorted(map(str, small.collect())) == sorted(map(str, whole.collect()))
+    named = decontamination.find_items(spark.createDataFrame(dirty, "doc_id long, text string"), bench.withColumn("item_id", F.concat(F.lit("item "), "item_id")), block_bytes=300)
+    assert {x.doc_id: {int(s.item_id[5:]) for s in x.spans} for x in named.collect()} == expected
+
+
+def test_banded_alignment():
+    r = random.Random(12)
+    for _ in range(400):
+        item = [r.randrange(3) for _ in range(r.randint(1, 12))]
+        text = [r.randrange(3) for _ in range(r.randint(0, 20))]
+        low, width, k = r.randint(-6, 12), r.randint(1, 9), r.randint(0, 5)
+        best = None
+        cost = {(0, j): 0 for j in range(len(text) + 1) if low <= j < low + width}
+        for i in range(1, len(item) + 1):
+            for j in range(max(0, i + low), min(len(text), i + low + width - 1) + 1):
+                ways = [cost[i - 1, j - 1] + (item[i - 1] != text[j - 1])] if (i - 1, j - 1) in cost else []
+                ways += [cost[x] + 1 for x in ((i - 1, j), (i, j - 1)) if x in cost]
+                if ways:
+                    cost[i, j] = min(ways)
+        best = min((c for (i, _), c in cost.items() if i == len(item)), default=None)
+        got = decontamination.align(np.array(item, np.uint8), np.array(text, np.uint8), low, width, k)
+        if got is None:
+            assert best is None or best > k or not text
+        else:
+            assert got[0] == best <= k and edit_distance_within(item, text[got[1] : got[2]]) <= best and 0 <= got[1] <= got[2] <= len(text)
 
 
 def test_short_items_match_whole_words(spark):
