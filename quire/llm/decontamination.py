@@ -4,12 +4,12 @@ A region of a document that is within k edits of an item of n characters shares
 n + 1 - q - k * q of its q-grams with it, at diagonals (document place less item place) that differ by
 at most k.  Shared q-grams are found with a bit table and a sorted list of the items' q-grams, and
 counted in overlapping bands of diagonals, each 2k wide and starting k after the one before, so that some
-band holds them all.  Bands that reach the bound are verified by banded alignment; an item that stands
-there word for word needs none.
+band holds them all.  Bands that reach the bound are verified by banded alignment over their 2k + 1 diagonals; an item
+that stands there word for word needs none.
 
 Text is compared as bytes, A-Z and Latin-1 capitals lower-cased and white space of any kind as a space, so places are places
-in the document itself.  The items are a stated query set: they are shipped in blocks of at most
-``block_bytes``, and documents are read once a block.
+in the document itself.  The items are a stated query set: they are shipped in blocks of about
+``block_bytes``, one after the other, and documents are read once a block.
 
 Defined cases: null and empty texts are clean; null or empty items match nothing; items shorter than
 ``min_chars`` match only word for word, never inside a longer word; repeated items each count; null ids and repeated rows come back
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import text_bytes
+from quire.llm.common import drop_written, text_bytes, written
 
 _U = np.uint64
 _BITS = 20
@@ -37,7 +37,6 @@ _MULT = _U(0x9E3779B97F4A7C15)
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[ord("A") : ord("Z") + 1] += 32
 _PLAIN[9:14] = 32
-SPAN = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())])
 
 
 def plain_bytes(data: np.ndarray) -> np.ndarray:
@@ -63,32 +62,44 @@ def _slot(code: np.ndarray) -> np.ndarray:
     return (code * _MULT) >> _U(64 - _BITS)
 
 
-def align(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """Fewest edits (k at most) between the item and any part of the region, with that part's ends.
+_FAR = 1 << 30
 
-    Only diagonals that the region allows are kept: row by row, all columns of a row at once.
+
+def align(item: np.ndarray, text: np.ndarray, low: int, width: int, k: int) -> tuple[int, int, int] | None:
+    """Fewest edits (k at most) between the item and any part of the text, with that part's ends.
+
+    Banded: only ``width`` diagonals (text place less item place) from ``low`` on are kept, whatever the text's length.
     """
-    m, n = len(region), len(item)
-    if not n or m + k < n:
+    n, size = len(item), len(text)
+    if not n:
         return None
-    cols = np.arange(m + 1)
-    cost, begin = np.zeros(m + 1, np.int64), cols.copy()
+    # chars[i + d] faces item[i] on diagonal low + d; what lies outside the text equals nothing
+    chars = np.full(n + width, 256, np.int16)
+    a, z = max(0, low), min(size, low + n + width)
+    if a >= z:
+        return None
+    chars[a - low : z - low] = text[a:z]
+    lane = np.arange(width)
+    begin = low + lane
+    cost = np.where((begin >= 0) & (begin <= size), 0, _FAR)
+    clipped = low < 0 or low + n + width > size
     for i in range(n):
-        step = np.empty(m + 1, np.int64)
-        from_begin = np.empty(m + 1, np.int64)
-        diagonal = cost[:-1] + (region != item[i])
-        up = cost + 1
-        take = diagonal <= up[1:]
-        step[0], from_begin[0] = up[0], begin[0]
-        step[1:] = np.where(take, diagonal, up[1:])
-        from_begin[1:] = np.where(take, begin[:-1], begin[1:])
-        least = np.minimum.accumulate(step - cols)
-        source = np.maximum.accumulate(np.where(step - cols == least, cols, 0))
-        cost, begin = least + cols, from_begin[source]
+        step, source = cost + (chars[i : i + width] != item[i]), begin.copy()
+        up = cost[1:] + 1
+        better = up < step[:-1]
+        step[:-1][better], source[:-1][better] = up[better], begin[1:][better]
+        if clipped:
+            at = low + lane + i + 1
+            step[(at < 0) | (at > size)] = _FAR
+        least = np.minimum.accumulate(step - lane)
+        source = source[np.maximum.accumulate(np.where(step - lane == least, lane, 0))]
+        cost, begin = least + lane, source
+        if clipped:
+            cost[(at < 0) | (at > size)] = _FAR
         if cost.min() > k:
             return None
     end = int(cost.argmin())
-    return (int(cost[end]), int(begin[end]), end) if cost[end] <= k else None
+    return int(cost[end]), int(begin[end]), low + end + n
 
 
 #: Scripts that put no space between words: a neighbour of these joins nothing.
@@ -171,9 +182,10 @@ class Items:
             place.append(np.arange(len(c)))
         code = np.concatenate(codes) if codes else np.zeros(0, _U)
         order = np.argsort(code, kind="stable")
-        self.item = np.concatenate(item)[order] if codes else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if codes else np.zeros(0, np.int64)
-        self.code, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
+        self.item = np.concatenate(item)[order].astype(np.int32) if codes else np.zeros(0, np.int32)
+        self.place = np.concatenate(place)[order].astype(np.int32) if codes else np.zeros(0, np.int32)
+        self.code, first, count = np.unique(code[order], return_index=True, return_counts=True)
+        self.first, self.count = first.astype(np.int32), count.astype(np.int32)
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[_slot(self.code)] = True
         long = self.size >= self.q
@@ -207,16 +219,16 @@ class Items:
         doc = np.searchsorted(offsets[1:], at, side="right")
         whole = at + self.q <= offsets[doc + 1]
         at, found, doc = at[whole], found[whole], doc[whole]
-        many = self.count[found]
+        many = self.count[found].astype(np.int64)
         rank = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
         posting = np.repeat(self.first[found], many) + rank
-        item, doc, at = self.item[posting], np.repeat(doc, many), np.repeat(at, many)
+        item, doc, at = self.item[posting].astype(np.int64), np.repeat(doc, many), np.repeat(at, many)
         docs, items = len(offsets) - 1, len(self.ids)
         if docs * items <= 1 << 22:  # a whole text has to reach the bound before its bands can
             pair = doc * items + item
             ok = (np.bincount(pair, minlength=docs * items) >= np.tile(self.bound, docs))[pair]
             item, doc, at, posting = item[ok], doc[ok], at[ok], posting[ok]
-        place = self.place[posting]
+        place = self.place[posting].astype(np.int64)
         band = (at - place - offsets[doc]) // np.maximum(self.k[item], 1)
         keys = _reached(doc, item, band, place, at, self.bound)
         spans: dict[tuple[int, int], list] = {}
@@ -235,9 +247,10 @@ class Items:
                 p = p - (a - near) if p >= 0 else -1
             else:
                 p = plain[a:z].tobytes().find(needle)
-            hit = (0, p, p + int(self.size[i])) if p >= 0 else align(self.plain[i], plain[a:z], int(self.k[i])) if self.k[i] else None
-            if hit:
-                got.append((a + hit[1], a + hit[2], hit[0]))
+            if p >= 0:
+                got.append((a + p, a + p + int(self.size[i]), 0))
+            elif self.k[i] and (hit := align(self.plain[i], plain[lo:hi], b * w, 2 * w + 1, int(self.k[i]))):
+                got.append((lo + hit[1], lo + hit[2], hit[0]))
         for (d, i), got in spans.items():
             lo = int(offsets[d])
             got.sort(key=lambda x: (x[2], x[0]))
@@ -246,7 +259,7 @@ class Items:
                 if all(e <= x[0] or s >= x[1] for x in kept):
                     kept.append((s, e, edits))
             out[d] += [(self.ids[i], s - lo, e - lo, edits) for s, e, edits in kept]
-        return [sorted(x) for x in out]
+        return out
 
 
 def _short(items: Items, data: np.ndarray, offsets: np.ndarray, out: list[list]) -> None:
@@ -260,21 +273,27 @@ def _short(items: Items, data: np.ndarray, offsets: np.ndarray, out: list[list])
                 out[d].append((items.ids[i], int(p - offsets[d]), int(p - offsets[d] + len(needle)), 0))
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 8, rate: float = 0.1, min_chars: int = 50, block_bytes: int = 16 << 20, step: int = 2 << 20) -> DataFrame:
-    """All rows with ``spans``: the item, the bytes from start to end of the text, and the edits between them."""
+def find_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 8, rate: float = 0.1, min_chars: int = 50, block_bytes: int = 4 << 20, step: int = 2 << 20) -> DataFrame:
+    """All rows with ``spans``: the item, the bytes from start to end of the text, and the edits between them.
+
+    Items of more than ``block_bytes`` in all are searched block after block; the rows are written between two blocks,
+    so that no task holds more than one block's index (about 25 bytes for each byte of the block).
+    """
     docs = docs.drop(*[c for c in ("spans",) if c in docs.columns])
-    items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
+    items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    schema = T.StructType([*docs.schema.fields, T.StructField("spans", T.ArrayType(SPAN))])
-    out = docs.withColumn("spans", F.array().cast(T.ArrayType(SPAN)))
+    blocks = max(1, -(-size // block_bytes))
+    span = T.StructType([T.StructField("item_id", items.schema["i"].dataType), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("spans", T.ArrayType(span))])
+    out, before = docs.withColumn("spans", F.array().cast(T.ArrayType(span))), None
     for n in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n) if blocks > 1 else items
         rows = part.orderBy("i", "t").toArrow()
         block = Items(rows["i"].to_pylist(), [t.encode() for t in rows["t"].to_pylist()], q, rate, min_chars)
         shared = docs.sparkSession.sparkContext.broadcast(block)
+        kind = pa.list_(pa.struct([("item_id", rows["i"].type), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, kind=kind) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 data, offsets = text_bytes(b.column(text_col))
                 spans, i = [], 0
@@ -287,13 +306,23 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                     i = j
                 have = b.column("spans").to_pylist()
                 both = [[*(tuple(s.values()) for s in x), *y] for x, y in zip(have, spans, strict=True)]
-                made = pa.array([[dict(zip(("item_id", "start", "end", "edits"), s, strict=True)) for s in sorted(x, key=lambda s: (s[0] is None, s))] for x in both], pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])))
+                made = pa.array([[dict(zip(("item_id", "start", "end", "edits"), s, strict=True)) for s in sorted(x, key=_in_order)] for x in both], kind)
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in schema.names[:-1]], made], names=schema.names)
 
         out = out.mapInArrow(run, schema)
+        if blocks > 1:
+            out = written(out)
+            drop_written(before)
+            before = out
+            shared.destroy()
     return out
 
 
+def _in_order(span: tuple) -> tuple:
+    """Null ids last."""
+    return (True, *span[1:]) if span[0] is None else (False, *span)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The rows that hold no item, with the columns they came with."""
     return find_items(docs, benchmark, text_col=text_col, **options).filter(F.size("spans") == 0).select(*docs.columns)
