@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quire.llm.common import whole_ids, written
+from quire.llm.common import one_thread, whole_ids, written
 
 _F = np.float32
 
@@ -171,6 +171,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str =
     index = spark.sparkContext.broadcast(index)
 
     def place(batches):
+        one_thread()
         for b in batches:
             x = _matrix(b.column("v"))
             cell = nearest(x.astype(_F), index.value.centroids)[0] if len(x) else np.zeros(0, np.int64)
@@ -234,6 +235,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str =
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
         """The best of one part for each query of one block that visits one of its cells."""
+        one_thread()
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(q) and len(c):
             x, codes = _matrix(c.column("v")), np.stack([np.frombuffer(z.as_py(), np.uint8) for z in c.column("code")])

@@ -7,10 +7,14 @@ numpy over the UTF-8 buffers that Arrow hands over, so no Python object is made
 from __future__ import annotations
 
 import atexit
+import ctypes
+import glob
 import math
+import os
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 #: The regular expression of a word, for SQL functions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one group of documents should hold, so that a task stays small at any input size.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 
 _U = np.uint64
 _BASE, _BASE_INV = _U(0x9E3779B97F4A7C13), _U(pow(0x9E3779B97F4A7C13, -1, 1 << 64))
@@ -143,19 +147,66 @@ def from_planes(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
-def text_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
-    """Rows and UTF-8 bytes of all texts: one column is read, one row comes back."""
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text)).cast("long")).alias("b")).first()
-    return row["n"], row["b"] or 0
+def settled(base: DataFrame, group_bytes: int) -> tuple[DataFrame, int]:
+    """(id, text, ...) rows with a ``_salt`` that deals equal rows out, and the UTF-8 bytes of all texts.
+
+    Rows are dealt into groups by id and text.  If equal rows would outgrow a group, they get different salts, and the
+    table is written, so that a row has the same salt whenever it is read.
+    """
+    per = base.groupBy(F.xxhash64("id", "text").alias("k")).agg((F.count(F.lit(1)) * F.coalesce(F.max(F.octet_length("text")), F.lit(0))).alias("b"))
+    row = per.agg(F.sum("b").alias("size"), F.max("b").alias("most")).first()
+    if (row["most"] or 0) > group_bytes:
+        return written(base.withColumn("_salt", F.monotonically_increasing_id())), row["size"]
+    return base.withColumn("_salt", F.lit(0).cast("long")), row["size"] or 0
 
 
 def group_count(size: int, group_bytes: int = GROUP_BYTES) -> int:
-    return max(4, math.ceil(size / group_bytes))
+    return max(8, math.ceil(size / group_bytes))
+
+
+@cache
+def one_thread() -> None:
+    """Keeps numpy's products of small matrices in one thread: a worker shares its machine with others, and more threads only wait for each other.
+
+    Where the library can't be found, threads stay as they are.
+    """
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
+def lanes(n: int) -> np.ndarray:
+    """For each of n partitions, the least number that Spark's hash partitioning (Murmur3 of an int) sends there."""
+    out, have, at, step = np.full(n, -1, np.int64), 0, 0, max(1024, 4 * n)
+    while have < n:
+        x = np.arange(at, at + step, dtype=np.uint32)
+        k = x * np.uint32(0xCC9E2D51)
+        k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+        h = np.uint32(42) ^ k
+        h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ h >> np.uint32(shift)) * np.uint32(times)
+        to = h.view(np.int32).astype(np.int64) % n
+        first = np.unique(to, return_index=True)
+        new = out[first[0]] < 0
+        out[first[0][new]] = at + first[1][new]
+        have, at = int((out >= 0).sum()), at + step
+    return out
 
 
 def grouped(docs: DataFrame, groups: int, *keys: str) -> DataFrame:
-    """Adds ``_group`` and deals rows out by it; the same plan twice in a query is one shuffle."""
-    return docs.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")).repartition(groups, "_group")
+    """Adds ``_group`` and deals rows out by it, each group to a partition of its own; the same plan twice in a query is one shuffle.
+
+    Groups are named so that hash partitioning sends no two to one partition (up to 65,536 groups; beyond, by chance).
+    """
+    number = F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")
+    if groups <= 1 << 16:
+        names = F.split(F.lit(",".join(map(str, lanes(groups).tolist()))), ",").cast("array<int>")
+        number = F.get(names, number)
+    return docs.withColumn("_group", number).repartition(groups, "_group")
 
 
 _own_dir: list[str] = []

@@ -12,7 +12,8 @@ in most documents costs one entry a group, whatever its count, and no task holds
 
 Defined cases: null and empty texts have no words; a text with fewer words than the window keeps all; the
 order of windows is (id, place), null ids last; rows that share an id are ordered by place alone, so of
-repeated rows none removes words of another; an empty table gives no rows; other columns are left alone.
+repeated rows none removes words of another; ids must be of a whole-number type; an empty table gives no rows; other
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import WORD, by_bucket, from_planes, group_count, grouped, planes, text_bytes, text_size, window_hashes, word_bounds, word_hashes
+from quire.llm.common import WORD, by_bucket, from_planes, group_count, grouped, planes, settled, text_bytes, whole_ids, window_hashes, word_bounds, word_hashes
 
 _U = np.uint64
 _SENT = "bucket int, _group int, a binary, b binary, c binary, d binary"
@@ -189,12 +190,14 @@ def _result(g: _Group, gone: np.ndarray, with_text: bool) -> tuple[list, ...]:
     return n, lost, sums, kept_texts, spans
 
 
-def dedupe_substrings(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, group_bytes: int = 16 << 20) -> DataFrame:
+def dedupe_substrings(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, group_bytes: int = 8 << 20, groups_per_bucket: int = 4) -> DataFrame:
     """A row for each document: id, n_words, n_removed, kept_sha256; with_text adds kept_text and the removed word spans."""
     width = max(1, window // 2)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    groups = buckets = group_count(text_size(base)[1], group_bytes)
-    dealt = grouped(base, groups, "id", "text")
+    whole_ids(docs, id_col)
+    base, size = settled(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), group_bytes)
+    groups = group_count(size, group_bytes)
+    buckets = max(4, -(-groups // groups_per_bucket))
+    dealt = grouped(base, groups, "id", "text", "_salt")
 
     def send_probes(t: pa.Table) -> pa.Table:
         return _send_probes(t, width, buckets)

@@ -166,11 +166,11 @@ def test_sharding_query_keeps_its_law(spark, tmp_path):
     assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in spark.read.parquet(f"{tmp_path}/out").collect())
 
 
-def test_lm_scores(spark, docs, rows, empty):
+def test_lm_scores(spark, docs, rows, odd, empty):
     import public_tokenizers
 
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
-    shape = lm.Shape(words=64, pieces=64, clusters=8, epochs=1)
+    shape = lm.Shape(units=128, clusters=8, epochs=1, least=1)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     got = {r.doc_id: r for r in lm.score(docs, ~held, path, shape=shape).collect()}
     train = [(i, t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -183,28 +183,44 @@ def test_lm_scores(spark, docs, rows, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(count[x] > 0 for x in w) + 1, total)
         assert r.base_score == pytest.approx(base) and math.isfinite(r.score) and r.score < 0
     assert lm.score(empty, F.lit(True), path, shape=shape).count() == 0
+    # null ids and repeated rows: train as often as they stand, and rows that outgrow a group are dealt over several
+    small = [lm.score(odd, F.lit(None).cast("boolean"), path, shape=shape, group_bytes=n).orderBy("doc_id", "n_tokens").collect() for n in (1 << 24, 30)]
+    for got in small:
+        assert [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(None, 1, 1, 28), (None, 5, 5, 28), (None, 5, 5, 28), (5, 5, 5, 28), (5, 5, 5, 28), (5, 6, 6, 28), (7, 1, 1, 28)]
+        assert got[1].score == pytest.approx(got[2].score) == pytest.approx(got[3].score)
+    none = lm.score(odd, F.lit(False), path, shape=shape).collect()
+    assert len(none) == 7 and all(r.n_known == r.train_tokens == 0 and math.isfinite(r.score) for r in none)
+
+
+def test_lm_beats_counts_on_unseen_texts(spark):
+    """Held-out log10 a token of the test table, against add-one counts of words."""
+    got = lm.query(spark, "/root/testdata/sf0.01").groupBy("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("model"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).collect()
+    assert len(got) == 2 and all(r.model > r.base + 0.05 for r in got)
 
 
 def test_lm_chances_add_up_and_windows_cover(spark):
     import public_tokenizers
     import pyarrow as pa
 
-    shape = lm.Shape(words=8, pieces=8, clusters=4, dim=4, hidden=4, window=6, stride=4, epochs=1)
+    shape = lm.Shape(units=16, clusters=4, dim=4, hidden=4, window=6, stride=3, epochs=1, least=1)
     pieces = lm.Pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    model = lm.train(pa.chunked_array([["a b c a b d e f"] * 9]), [], 81, 9, pieces, shape)
-    hidden = model.forward(np.array([[0, 3, 4, 5]]))[0][0]
+    model = lm.train(pa.chunked_array([["a b c a b d e f"] * 9]), pieces, shape)
+    hidden = model.forward(np.array([[0, 3, 4, 5, 3, 4]]), np.zeros((1, 6)))[0][0]
     for h in hidden:
         every = model.log10(np.repeat(h[None], 16, axis=0), np.arange(16))
         assert (10**every).sum() == pytest.approx(1, abs=1e-4)
+    assert (10 ** model.rare[model.piece_unit == 2]).sum() == pytest.approx(1, abs=1e-6)
     units = np.array([3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 1, 3, 1], np.int32)
     whole = model.score(units, np.array([0, 11, 13]))
-    total = 0.0
-    for start, new in ((0, range(6)), (4, range(2, 6)), (8, range(2, 3))):
-        seen = np.r_[0, units][start : start + 6].copy()
-        target = units[start : min(start + 6, 11)]
-        got = model.log10(model.forward(seen[None, : len(target)])[0][0], target)
-        total += sum(got[i] for i in new)
+    total, before = 0.0, np.r_[0, units[:10]]
+    for start in (0, 3, 6, 9):  # a window's last three units, with the three before them in sight
+        at = np.arange(start - 3, min(start + 3, 11))
+        pad = 6 - len(at)
+        ids, text = np.array([*np.where(at < 0, 0, before[at]), *[1] * pad]), np.array([*np.where(at < 0, -1, 0), *[0] * pad])
+        state = model.forward(ids[None], text[None])[0][0][: 3 - pad]
+        total += model.log10(state, units[start : start + 3 - pad]).sum()
     assert whole[0] == pytest.approx(total, rel=1e-4)
+    assert model.score(units[11:], np.array([0, 2]))[0] == pytest.approx(whole[1], rel=1e-5)
 
 
 def unit_ids(model, pieces, texts):
@@ -213,8 +229,8 @@ def unit_ids(model, pieces, texts):
 
     data, offsets = lm.text_bytes(pa.chunked_array([texts]))
     start, end, doc = lm.word_bounds(data, offsets)
-    hashes, first, word = np.unique(lm.word_hashes(data, start, end, lower=True), return_index=True, return_inverse=True)
-    flat, edge, _ = model.units(data, start, end, hashes, first, pieces)
+    _, first, word = np.unique(lm.word_hashes(data, start, end, lower=True), return_index=True, return_inverse=True)
+    flat, edge, _ = model.units(data, start, end, first, pieces)
     units, cut = lm.spread(flat, edge, word, doc, len(texts))
     return [tuple(units[a:b].tolist()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
@@ -225,11 +241,17 @@ def test_lm_units_tell_word_breaks():
 
     pieces = lm.Pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     texts = ["un happiness", "unhappiness", "u n happiness", "a bc", "ab c", "abc", "a b c", "12 3", "123", "x$ y", "x $y", "x$y", "it 's", "it's", "é é", "éé"]
-    model = lm.train(pa.chunked_array([texts]), [], 30, len(texts), pieces, lm.Shape(words=8, pieces=256, clusters=4, dim=4, hidden=4, window=6, stride=4, epochs=1))
+    model = lm.train(pa.chunked_array([texts]), pieces, lm.Shape(units=256, clusters=4, dim=4, hidden=4, window=6, stride=3, epochs=1, least=1))
     assert len(set(unit_ids(model, pieces, texts))) == len(texts)
     encode = pieces._code
     for w in ("unhappiness", "x$y", "12½", "家é"):
-        assert encode.decode(pieces.ids([w.encode()])[0]) == " " + w
+        assert encode.decode(pieces.ids([w.encode()])[0].tolist()) == " " + w
+    r = random.Random(3)
+    odd = ["".join(r.choice("abc'sT1½!é家\x85\u00a0\u2003\x1c") for _ in range(r.randint(1, 9))) for _ in range(400)]
+    for some in (odd, [w for w in odd if len(w.split()) == 1 and w.split()[0] == w], texts, []):
+        some = [w for t in some for w in words(t)]
+        ids, lens = pieces.ids([w.encode() for w in some], at_once=50)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == [encode.encode_ordinary(" " + w) for w in some] or not some
 
 
 def test_lm_chunks_hold_every_unit_once():
@@ -238,16 +260,16 @@ def test_lm_chunks_hold_every_unit_once():
 
     pieces = lm.Pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     texts = [" ".join(f"w{i % 7}" for i in range(50)), "", None, "one", "Tab\tand\nline  é end"]
-    shape = lm.Shape(words=8, pieces=64, clusters=4, dim=4, hidden=4, window=6, stride=4, epochs=1)
     column = pa.chunked_array([texts])
-    model = lm.train(column, [], 60, 5, pieces, shape)
+    model = lm.train(column, pieces, lm.Shape(units=64, clusters=4, dim=4, hidden=4, window=6, stride=3, epochs=1, least=1))
     data, offsets = lm.text_bytes(column)
     start, end, doc = lm.word_bounds(data, offsets)
     lines = lm._chunks(data, offsets, start, end, doc, np.ones(5, bool), np.arange(5), 1.0, 4)
     assert len(lines) == 13 + 1 + 1 + 1 + 2
-    before, after = lm._chunk_units(lines, model, pieces)
+    before, after, run = lm._chunk_units(lines, model, pieces)
     whole = unit_ids(model, pieces, texts)
     assert Counter(zip(before.tolist(), after.tolist(), strict=True)) == Counter(p for u in whole for p in zip((0, *u), u, strict=False))
+    assert len(set(run.tolist())) == len(lines) and len(run) == len(after)
 
 
 def test_lm_learns_from_more_when_there_is_more(spark, monkeypatch):
@@ -258,23 +280,18 @@ def test_lm_learns_from_more_when_there_is_more(spark, monkeypatch):
     vocabulary = ["".join(r.choice("abcdefghé") for _ in range(r.randint(2, 8))) for _ in range(200)]
     texts = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in [6000] + [40] * 300]
     seen, fitted, outline, fit = [], [], lm._outline, lm._fitted
-    monkeypatch.setattr(lm, "_outline", lambda top, docs, s, shape: seen.append((top, s)) or outline(top, docs, s, shape))
+    monkeypatch.setattr(lm, "_outline", lambda docs, s, shape: seen.append(s) or outline(docs, s, shape))
     monkeypatch.setattr(lm, "_fitted", lambda *a: fitted.append(fit(*a)))
-    shape = lm.Shape(words=16, pieces=16, clusters=4, dim=4, hidden=4, window=6, stride=4, epochs=1, chunk=8)
+    shape = lm.Shape(units=32, clusters=4, dim=4, hidden=4, window=6, stride=3, epochs=1, least=1, chunk=8)
     for copies in (1, 4):
         data = [(i + 1000 * c, t) for c in range(copies) for i, t in enumerate(texts)]
         d = spark.createDataFrame(data, "doc_id long, text string")
-        assert lm.score(d, F.lit(True), path, shape=shape, fit_share=4, fit_bytes=1, group_bytes=20_000).count() == len(data)
-        count, pieces = Counter(w for _, t in data for w in words(t)), lm.Pieces(path)
-        top, got = seen[-1]
-        assert sorted(c for _, c in top) == sorted(count.values())[-13:]
-        known = {h for h, _ in top}
+        assert lm.score(d, F.lit(True), path, shape=shape, fit_share=4, fit_bytes=1, part_bytes=4000, group_bytes=20_000).count() == len(data)
+        pieces = lm.Pieces(path)
         expected = np.zeros(pieces.size)
-        for w, c in count.items():
-            raw = np.frombuffer(w.encode(), np.uint8)
-            if int(lm.word_hashes(raw, np.array([0]), np.array([len(raw)]), lower=True)[0]) not in known:
-                np.add.at(expected, pieces.ids([w.encode()])[0], c)
-        assert (got == expected).all()
+        for w, c in Counter(w for _, t in data for w in words(t)).items():
+            np.add.at(expected, pieces.ids([w.encode()])[0], c)
+        assert (seen[-1] == expected).all()
     assert 3 < fitted[1] / fitted[0] < 5
 
 
@@ -282,20 +299,22 @@ def test_lm_gradient():
     import public_tokenizers
     import pyarrow as pa
 
-    shape = lm.Shape(words=8, pieces=8, clusters=4, dim=4, hidden=5, window=6, stride=4, epochs=1)
-    model = lm.train(pa.chunked_array([["a b c a b d e f"] * 9]), [], 81, 9, lm.Pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), shape)
+    shape = lm.Shape(units=16, clusters=4, dim=4, hidden=5, window=6, stride=4, epochs=1, least=1)
+    model = lm.train(pa.chunked_array([["a b c a b d e f"] * 9]), lm.Pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), shape)
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
-    ids, target = np.array([[0, 9, 8, 9, 10, 3]]), np.array([[9, 8, 9, 10, 3, 1]])
-    grad = lm._gradient(model, ids, target)
+    ids, text = np.array([[0, 9, 8, 9, 10, 3], [4, 5, 0, 7, 3, 3]]), np.array([[1, 1, 1, 1, 1, 1], [1, 1, 2, 2, 2, 2]])
+    target, counts = np.array([[8, 9, 10, 3], [7, 3, 3, 1]]), np.array([[1, 1, 1, 1], [1, 1, 1, 0]], bool)
+    grad = lm._gradient(model, ids, text, target, counts)
 
     def loss():
-        h = model.forward(ids)[0].reshape(-1, 4)
-        c, total = model.cluster[target[0]], 0.0
-        for x, t, k in zip(h, target[0], c, strict=True):
-            a, b = model.w["cluster"] @ x + model.w["cluster_b"], model.w["unit"][k] @ x + model.w["unit_b"][k]
-            total -= a[k] - np.log(np.exp(a).sum()) + b[model.within[t]] - np.log(np.exp(b).sum())
-        return total / 6
-
+        total = 0.0
+        for h, t, real in zip(model.forward(ids, text)[0].reshape(-1, 4), target.ravel(), counts.ravel(), strict=True):
+            k = model.cluster[t]
+            a, b = model.w["cluster"] @ h + model.w["cluster_b"], model.w["unit"][k] @ h + model.w["unit_b"][k]
+            total -= real * (a[k] - np.log(np.exp(a).sum()) + b[model.within[t]] - np.log(np.exp(b).sum()))
+        return total / counts.sum()
+
+    assert set(grad) == set(model.w)
     for name, g in grad.items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         old = model.w[name][at]
@@ -307,6 +326,14 @@ def test_lm_gradient():
         assert (up - down) / 2e-5 == pytest.approx(g[at], rel=2e-3, abs=1e-6), name
 
 
+def test_groups_have_a_partition_each(spark):
+    from quire.llm import common
+
+    n = 37
+    names = spark.createDataFrame([(int(x),) for x in common.lanes(n)], "x int")
+    assert [r[0] for r in names.select(F.pmod(F.hash("x"), F.lit(n))).collect()] == list(range(n))
+
+
 def test_licenses(docs, odd, empty):
     got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs).collect()}
     assert got.pop(107) == ["MIT"] and got.pop(108) == ["Apache-2.0"]
@@ -703,8 +730,10 @@ def test_substrings(docs, rows, window):
         assert sum(s.end - s.start for s in r.removed_spans) == r.n_removed
 
 
-def test_substrings_odd_tables(odd, empty):
-    got = substring_dedup.dedupe_substrings(odd, window=4).collect()
+@pytest.mark.parametrize("group_bytes", [1 << 24, 30])
+def test_substrings_odd_tables(odd, empty, group_bytes):
+    """With 30 bytes a group, equal rows outgrow one and are dealt over several."""
+    got = substring_dedup.dedupe_substrings(odd, window=4, group_bytes=group_bytes).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("5", 0), ("5", 0), ("5", 0), ("7", 0), ("None", 0), ("None", 4), ("None", 4)]
     assert substring_dedup.dedupe_substrings(empty).count() == 0
 
