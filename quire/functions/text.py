@@ -7,6 +7,7 @@ from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from quire.functions.kernels import let
 
@@ -129,6 +130,17 @@ def confidence(c: Column, default: float = 0.62) -> Column:
     return F.bround(F.greatest(F.lit(0.0), F.least(F.coalesce(c.try_cast("double"), F.lit(default)), F.lit(1.0))), 2)
 
 
+def value_text(value: Column, kind: DataType) -> Column:
+    """Text of a value of any shape: items of arrays, and names and values of structs and maps, by spaces."""
+    if isinstance(kind, ArrayType):
+        return F.array_join(F.transform(value, lambda x: value_text(x, kind.elementType)), " ")
+    if isinstance(kind, MapType):
+        return F.array_join(F.transform(F.map_entries(value), lambda e: F.concat_ws(" ", e["key"].cast("string"), value_text(e["value"], kind.valueType))), " ")
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.concat_ws(" ", *[F.concat_ws(" ", F.lit(f.name), value_text(value[f.name], f.dataType)) for f in kind.fields]))
+    return value.cast("string")
+
+
 def assisted_confidence(c: Column, default: float = 0.62) -> Column:
     """As confidence; zero counts as not given."""
     return F.when(confidence(c, default) <= 0, default).otherwise(confidence(c, default))

@@ -28,6 +28,11 @@ def invoice_score(norm: Column) -> Column:
     return let(evidence, weigh)
 
 
+def text_score(text: Column) -> Column:
+    """The invoice score of a raw text, folded once for all patterns."""
+    return let(fold(F.coalesce(text, F.lit(""))), invoice_score)
+
+
 def type_scores(norm: Column) -> Column:
     """Array of (score, rank: minus the order of the type, type)."""
     return F.array(*[F.struct(sum((has_phrase(norm, w).cast("int") for w in words), F.lit(0)).alias("score"), F.lit(-i).alias("rank"), F.lit(kind).alias("type")) for i, (kind, words) in enumerate(L.TYPE_KEYWORDS.items())])
@@ -52,7 +57,7 @@ def classify(docs: DataFrame, *, text_col: str = "text", threshold: int = 4) ->
 def threshold_sweep(labelled: DataFrame, *, text_col: str = "text", label_col: str = "document_type", thresholds: range = range(2, 8)) -> DataFrame:
     """(threshold, documents, accuracy) of calling a document an invoice from that score on; one scan, one aggregate."""
     rows = labelled.filter(F.col(label_col).isNotNull() & (F.trim(F.coalesce(F.col(text_col), F.lit(""))) != ""))
-    rows = rows.select((F.col(label_col) == "invoice").alias("is"), invoice_score(fold(F.col(text_col))).alias("score"))
+    rows = rows.select((F.col(label_col) == "invoice").alias("is"), text_score(F.col(text_col)).alias("score"))
     each = rows.select("is", "score", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
     return each.groupBy("threshold").agg(F.count(F.lit(1)).alias("documents"), F.avg(((F.col("score") >= F.col("threshold")) == F.col("is")).cast("double")).alias("accuracy"))
 

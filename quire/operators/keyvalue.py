@@ -185,6 +185,20 @@ def page_pairs(pages: DataFrame) -> DataFrame:
     return once(out, "pairs", dedupe(F.concat(inline_pairs(F.col("_lines"), page), row_pairs(F.col("_lines"), page), _sections(F.col("_rules"), _below, page)))).drop("_lines", "_rules")
 
 
+def boxed_pairs(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, a pair's columns, bbox) of a page's ``pairs``; bbox: the pair's lines in percent, null without boxes."""
+    mine = lambda p: F.filter("lines", lambda x: F.array_contains(p["lines"], x["ord"].cast("int")) & x["x1"].isNotNull())
+
+    def box(a: Column) -> Column:
+        side = lambda f, c: f(F.transform(a, lambda x: x[c]))
+        x1, y1, x2, y2 = side(F.array_min, "x1"), side(F.array_min, "y1"), side(F.array_max, "x2"), side(F.array_max, "y2")
+        percent = lambda v, n: F.round(v * 100, 2).alias(n)
+        return F.when(F.size(a) > 0, F.struct(percent(x1, "x"), percent(y1, "y"), percent(x2 - x1, "width"), percent(y2 - y1, "height")))
+
+    each = F.explode(F.transform("pairs", lambda p: F.struct(p.alias("p"), let(mine(p), box).alias("bbox"))))
+    return pages.select("doc_id", "page", each.alias("x")).select("doc_id", F.col("x.p.page").alias("page"), *[f"x.p.{c}" for c in ("label", "norm", "canonical", "value", "display", "source", "confidence", "lines")], "x.bbox")
+
+
 def find_by_field(pairs: Column, field: Column) -> Column:
     """The first pair whose canonical label fills the field."""
     first = lambda names: F.get(F.filter(pairs, lambda p: p["canonical"].isin(*names)), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions import lexicon as L
 from quire.functions.kernels import let, median, once, take_until
@@ -145,6 +146,11 @@ def regions(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     return out.select("doc_id", "page", F.posexplode("_found").alias("i", "r")).select("doc_id", "page", (F.col("i") + 1).alias("ord"), *[f"r.{c}" for c in ("type", "label", "x", "y", "width", "height", "text", "confidence", "source")])
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """Regions with ``region_id``: their number over all pages of the document."""
+    return found.withColumn("region_id", F.concat(F.lit("region_"), F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "ord")).cast("string")))
+
+
 def dedupe(found: Column) -> Column:
     """Regions of a type that cover 85 % of the smaller box are one: the first kept stays."""
 

@@ -24,9 +24,9 @@ def _place(g: Column) -> list[Column]:
 
 
 def pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, page, page_width, page_height, lines, words) from (doc_id, pages).
+    """(doc_id, page, page_width, page_height, n_lines, lines, words) from (doc_id, pages).
 
-    lines: texts that aren't blank, numbered over the page in document order (``ord``), with a null box where
+    n_lines: all of the page's lines, blank ones too; lines: texts that aren't blank, numbered over the page in document order (``ord``), with a null box where
     neither line nor words have one; words: those with a box, in document order.
     """
     p = docs.select("doc_id", F.posexplode("pages").alias("i", "p"))
@@ -39,7 +39,7 @@ def pages(docs: DataFrame) -> DataFrame:
 
     every = F.flatten(F.transform("p.blocks", lambda block, b: F.transform(block["lines"], lambda x, n: line(block, b, x, n))))
     numbered = let(F.filter(every, lambda x: x["text"] != ""), lambda a: F.transform(a, lambda x, i: F.struct((i + 1).alias("ord"), x["block"].alias("block"), x["line"].alias("line"), x["text"].alias("text"), fold(x["text"]).alias("norm"), *[x[c].alias(c) for c in ("x1", "y1", "x2", "y2", "cx", "cy", "width", "height")], x["words"].alias("words"))))
-    rows = p.select("doc_id", (F.col("i") + 1).alias("page"), F.when(ok, dims["width"]).otherwise(1000.0).alias("page_width"), F.when(ok, dims["height"]).otherwise(1000.0).alias("page_height"), F.explode(F.array(numbered)).alias("lines"))
+    rows = p.select("doc_id", (F.col("i") + 1).alias("page"), F.when(ok, dims["width"]).otherwise(1000.0).alias("page_width"), F.when(ok, dims["height"]).otherwise(1000.0).alias("page_height"), F.coalesce(F.aggregate("p.blocks", F.lit(0), lambda n, b: n + F.greatest(F.size(F.coalesce(b["lines"], F.array())), F.lit(0))), F.lit(0)).alias("n_lines"), F.explode(F.array(numbered)).alias("lines"))
     word = lambda ln, w: F.struct(ln["ord"].alias("ord"), strip(w["value"]).alias("text"), w["confidence"].alias("confidence"), *_place(w["geometry"]))
     words = F.flatten(F.transform("lines", lambda ln: F.transform(F.filter(ln["words"], lambda w: w["geometry"].isNotNull() & (strip(w["value"]) != "")), lambda w: word(ln, w))))
     return once(rows, "words", words)
@@ -122,6 +122,27 @@ def boxes(ordered_pages: DataFrame) -> DataFrame:
     return b.select("doc_id", "page", (F.col("i") + 1).cast("string").alias("id"), F.col("x.text").alias("label"), (F.col("x.x1") * 100).alias("x"), (F.col("x.y1") * 100).alias("y"), ((F.col("x.x2") - F.col("x.x1")) * 100).alias("width"), ((F.col("x.y2") - F.col("x.y1")) * 100).alias("height"))
 
 
+def chosen_boxes(ordered_pages: DataFrame, special: DataFrame | None = None) -> DataFrame:
+    """Boxes in reading order for the documents that ``special`` (doc_id) names as straightened, in document order for others."""
+    if special is None:
+        return raw_boxes(ordered_pages)
+    ids = special.select("doc_id").distinct()
+    return raw_boxes(ordered_pages.join(ids, "doc_id", "left_anti")).unionByName(boxes(ordered_pages.join(ids, "doc_id", "left_semi")))
+
+
+def raw_text(docs: DataFrame, special: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text) of (doc_id, pages) in document order, a blank line after each block; where ``special`` (doc_id) names a
+    document as straightened and its reading order gives a text, that text."""
+    line = lambda x: F.concat(F.array_join(F.transform(x["words"], lambda w: w["value"]), " "), F.lit("\n"))
+    block = lambda b: F.concat(F.array_join(F.transform(b["lines"], line), ""), F.lit("\n"))
+    text = F.array_join(F.flatten(F.transform("pages", lambda p: F.transform(p["blocks"], block))), "")
+    plain = docs.select("doc_id", F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "").alias("text"))
+    if special is None:
+        return plain
+    straight = document_text(reading_order(pages(docs.join(special.select("doc_id").distinct(), "doc_id", "left_semi")))).withColumnRenamed("text", "_text")
+    return plain.join(straight, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col("_text") != "", F.col("_text")), F.col("text")).alias("text"))
+
+
 def raw_boxes(pages_: DataFrame) -> DataFrame:
     """As boxes, in document order; a line without a box spans the page."""
     b = pages_.select("doc_id", "page", F.explode("lines").alias("x"))
@@ -141,7 +162,8 @@ def low_confidence(pages_: DataFrame, limit: float = 0.55) -> DataFrame:
 
 
 def suggest_tables(pages_: DataFrame, least: int = 12) -> DataFrame:
-    return pages_.filter(F.size("lines") >= least).select("doc_id", "page", F.size("lines").alias("n_lines"))
+    """(doc_id, page, n_lines) of pages with so many lines that a table is likely."""
+    return pages_.filter(F.col("n_lines") >= least).select("doc_id", "page", "n_lines")
 
 
 def paragraph_gaps(tops: Column) -> Column:

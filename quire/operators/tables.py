@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions import lexicon as L
 from quire.functions.kernels import let, median, once, take_until
@@ -93,7 +94,7 @@ def cell_text(words: Column) -> Column:
 
 
 def extract_tables(pages_: DataFrame) -> DataFrame:
-    """(doc_id, page, table_id, headers, rows, confidence) of the pages that hold a table with two columns or more."""
+    """(doc_id, page, table_id, headers, rows, confidence) of the pages that hold a table with two columns or more; ids count a document's tables."""
     p = pages_.withColumn("_lines", positioned(F.col("lines"))).filter((F.size("_lines") > 0) & (F.size("words") > 0))
     p = once(p, "_groups", row_groups(F.col("_lines"), 1.1))
     p = once(p, "_head", header_row(F.col("_groups"))).filter("_head IS NOT NULL")
@@ -110,7 +111,8 @@ def extract_tables(pages_: DataFrame) -> DataFrame:
     p = once(p, "rows", F.filter(take_until(F.col("_rows"), lambda r: has_any(fold(F.array_join(r, " ")), L.STOP_ROWS)), lambda r: F.exists(r, lambda c: F.trim(c) != "")))
     p = p.filter(F.size("rows") > 0).withColumn("headers", F.transform("_columns", lambda c: c["header"]))
     sure = F.round(F.least(F.lit(0.95), F.lit(0.55) + F.size("rows") * 0.08 + F.size("headers") * 0.04), 2)
-    return p.select("doc_id", "page", F.concat(F.lit("page_"), F.col("page").cast("string")).alias("table_id"), "headers", "rows", sure.alias("confidence"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
+    return p.select("doc_id", "page", F.concat(F.lit("table_"), nth.cast("string")).alias("table_id"), "headers", "rows", sure.alias("confidence"))
 
 
 def cells(tables: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def classify_documents(spark, sf_dir):
 
 @query(f"WITH t AS (SELECT doc_id, {fold_sql('text')} AS n FROM documents) SELECT doc_id, ({SCORE})::INT AS invoice_score FROM t")
 def invoice_score(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", C.invoice_score(X.fold(F.col("text"))).alias("invoice_score"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.text_score(F.col("text")).alias("invoice_score"))
 
 
 @query(f"""WITH {TEXT_SQL}, t AS (SELECT ({SCORE})::INT AS s, CASE doc_id % 6 WHEN 0 THEN 'invoice' WHEN 2 THEN 'receipt' ELSE 'other' END AS l FROM norm)

@@ -1,5 +1,6 @@
 """Recognised documents and texts with known results."""
 
+import decimal
 import json
 
 import pytest
@@ -15,8 +16,8 @@ from quire.operators import monitoring as M
 from quire.operators import pages as P
 from quire.operators import tables as T
 from quire.operators.classify import classify
-from quire.plans import pipeline
-from quire.sources import adapters, datasets, sinks
+from quire.plans import pipeline, registry
+from quire.sources import adapters, assist, datasets, sinks
 from quire.streaming import monitor
 
 
@@ -191,8 +192,147 @@ def test_sources_and_sinks(spark, tmp_path):
     assert len(rows) == len(TABLE)
 
 
-def test_entry_point_works_without_the_training_part(spark):
+def test_manifest_order_and_bad_lines(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"path": "z.png"}\n\n{"path": "a.png"}\n{"path": "m.png"}\n')
+    assert [r.source_path for r in datasets.manifest(spark, str(tmp_path / "m.jsonl"), max_documents=2).collect()] == ["z.png", "a.png"]
+    (tmp_path / "bad.jsonl").write_text('{"path": "z.png"}\n\n{"path": \n[1]\n')
+    assert [(r.line, r.text) for r in datasets.malformed(spark, str(tmp_path / "bad.jsonl")).orderBy("line").collect()] == [(3, '{"path": '), (4, "[1]")]
+
+
+def test_label_folder_and_split(spark, tmp_path):
+    for d in ("labels", "a", "b"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "labels" / "gt_7.txt").write_text("1,2,30,2,30,20,1,20,hello, world\n1,2,3\n0,0,5,0,5,5,0,5,###\n")
+    (tmp_path / "labels" / "gt_8.txt").write_text("1,2,30,2,30,20,1,20,none\n")
+    (tmp_path / "labels" / "other.txt").write_text("1,2,30,2,30,20,1,20,none\n")
+    for d in ("a", "b"):
+        (tmp_path / d / "im0007.jpg").write_bytes(d.encode())
+    got = datasets.labelled_images(spark, str(tmp_path / "labels"), [str(tmp_path / "b"), str(tmp_path / "a")])
+    assert [(r.number, r.image.split("/")[-2:], r.label, r.xmin, r.ymax) for r in got.collect()] == [(7, ["b", "im0007.jpg"], "hello, world", 1, 20)]
+    rows = datasets.split(spark.createDataFrame([(f"{i}.jpg", f"t{i}", b"x") for i in range(60)], "name string, label string, content binary"), "name")
+    datasets.write_split(rows, str(tmp_path / "out"), name="name")
+    counts = {r.split: r.n for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for part, n in counts.items():
+        labels = datasets.label_map(spark, str(tmp_path / "out"), part).first().labels
+        assert len(labels) == n and all(v == "t" + k[:-4] for k, v in labels.items())
+    assert spark.read.parquet(f"{tmp_path}/out/images").count() == 60
+
+
+def test_wrapped_lines(spark):
+    rows = spark.createDataFrame([("one two three",), ("abcdefgh ij",), ("",), (None,), ("iiii ww",)], "t string")
+    got = [r.w for r in rows.select(sinks.wrap(F.col("t"), {"i": 0.5}, 5.0).alias("w")).collect()]
+    assert got == [["one", "two", "three"], ["abcde", "fgh", "ij"], [""], [""], ["iiii ww"]]
+
+
+def test_tuning_and_model_settings(spark, tmp_path):
+    written = sinks.write_tuning(str(tmp_path / "t" / "t.json"), 5, {"5": 1.0}, {})
+    assert json.loads((tmp_path / "t" / "t.json").read_text()) == written and written["document_agent"]["invoice_keyword_threshold"] == 5
+    (tmp_path / ".env").write_text("# c\nA = '1.5'\nA=2\nB=x\nbad\n")
+    env = assist.settings(str(tmp_path / ".env"), {"C": "7"})
+    assert env == {"A": "1.5", "B": "x", "C": "7"}
+    assert assist.share(env, "A", 0.5) == 1.0 and assist.share(env, "B", 0.5) == 0.5 and assist.share(env, "D", 0.5) == 0.5
+    assert assist.at_least(env, "C", 180) == 32 and assist.at_least(env, "B", 180) == 180
+
+
+def test_language_model_states_and_merges(spark):
+    docs = spark.createDataFrame([(1, "INVOICE\nInvoice No: INV-77\nDate: 2026-01-05\nTotal: 154.00 USD\nBill To: Acme"), (2, " "), (3, "notes"), (4, "fail")], "doc_id long, text string")
+    done = pipeline.analyze_text(docs).cache()
+
+    def model(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            say = []
+            for i, c in zip(b.column("doc_id").to_pylist(), b.column("context").to_pylist(), strict=True):
+                known = json.loads(c)
+                assert i != 1 or "question" in known or (known["document_type"] == "invoice" and known["fields"]["invoice_number"])
+                say.append({1: '{"summary": "s", "corrected_text": "t", "fields": {"Purchase Order": {"value": "PO-9", "confidence": 0.9}, "note": "n"}}', 3: "no json", 9: '{"answer": "Blue"}'}.get(i))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(say, pa.string()), pa.array([None if s else "down" for s in say], pa.string())], names=["doc_id", "response", "error"])
+
+    on = assist.Assistant("local", "m", model)
+    assert {r.status for r in assist.analyse(done).collect()} == {"disabled"} and {r.status for r in assist.analyse(done, assist.Assistant("x")).collect()} == {"unavailable"}
+    assert {r.doc_id: r.status for r in assist.analyse(done, on).collect()} == {1: "ok", 2: "skipped", 3: "error", 4: "error"}
+    entities = spark.createDataFrame([(1, 1, "INVOICE_NUMBER", "INV-78", 0.5)], "doc_id long, ord long, label string, value string, confidence double")
+    out = pipeline.merge_all(done, entities=entities, assistant=on)
+    got = {r.field_name: r.value for r in out["fields"].filter("doc_id = 1").collect()}
+    assert got["purchase_order"] == "PO-9" and got["note"] == "n" and got["invoice_number"] == "INV-77"
+    plain = pipeline.merge_all(done)
+    assert plain["rejected"] is None and {r.field_name for r in plain["fields"].filter("doc_id = 1").collect()} == set(got) - {"purchase_order", "note"}
+    asked = spark.createDataFrame([(9, 3, "What colour?"), (10, 4, "What colour?")], "question_id long, doc_id long, question string")
+    answers = {r.question_id: (r.answer, r.matched_field) for r in pipeline.answer_questions(done, asked, assistant=on).collect()}
+    assert answers[9] == ("Blue", "llm_answer") and answers[10][1] is None
+
+
+def test_chosen_text_boxes_and_numbers(spark):
+    docs = document(spark, TABLE)
+    special = docs.select("doc_id")
+    plain, straight = P.raw_text(docs).first().text, P.raw_text(docs, special).first().text
+    assert plain.split("\n")[0] == " ".join(w["value"] for w in TABLE[0]["words"]) and straight == P.document_text(P.reading_order(P.pages(docs))).first().text
+    pages = P.reading_order(P.pages(docs))
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(P.chosen_boxes(pages)) == rows(P.raw_boxes(pages)) and rows(P.chosen_boxes(pages, special)) == rows(P.boxes(pages))
+    texts = docs.select("doc_id", F.lit("x\n\ny").alias("text")).unionByName(spark.createDataFrame([(2, "a\nb")], "doc_id long, text string"))
+    lines = {r.doc_id: r.lines for r in pipeline.chosen_lines(texts, docs).collect()}
+    assert lines[2] == ["a", "b"] and len(lines[1]) == len(TABLE)
+    assert {r.doc_id: r.lines for r in pipeline.chosen_lines(texts).collect()}[1] == ["x", "y"]
+    parts = pipeline.analyze_structured(docs)
+    assert [r.table_id for r in parts["tables"].collect()] == ["table_1"]
+    ids = [r.region_id for r in parts["regions"].orderBy("page", "ord").collect()]
+    assert ids == [f"region_{i + 1}" for i in range(len(ids))]
+    boxed = parts["pairs"].collect()
+    assert all(0 <= r.bbox.x <= 100 and r.bbox.width > 0 for r in boxed)
+    images = spark.createDataFrame([(1, 1, b"i"), (1, 2, b"j")], "doc_id long, page int, content binary")
+    assert datasets.page_images(pages, images).count() == 1
+    assert P.suggest_tables(P.pages(docs), least=len(TABLE)).first().n_lines == len(TABLE)
+
+
+def test_value_text(spark):
+    row = spark.sql("SELECT named_struct('a', array(1, 2), 'b', map('k', 'v'), 'c', null) AS v")
+    assert row.select(X.value_text(F.col("v"), row.schema["v"].dataType).alias("t")).first().t == "a 1 2 b k v c"
+
+
+def test_entry_point_works_without_the_training_part(spark, monkeypatch):
+    import importlib
+    import sys
+
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+    for gone in ("quire.llm", "quire.llm.queries", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, gone, None)
+    monkeypatch.delattr("quire.llm", raising=False)
+    bare = importlib.reload(entry)
+    assert bare.queries() and not any(q == "pipeline" or q[:2] == "op" and q[2].isdigit() for q in bare.queries())
+    monkeypatch.undo()
+    importlib.reload(entry)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_matches_its_sql(spark, name):
+    import duckdb
+
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    expected = con.execute(registry.ORACLE_SQL[name])
+    names = [c[0] for c in expected.description]
+    want = sorted(repr(_plain([r[i] for i in sorted(range(len(names)), key=names.__getitem__)])) for r in expected.fetchall())
+    got = registry.QUERIES[name](spark, at)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(repr(_plain(list(r))) for r in got.select(sorted(got.columns)).collect()) == want
+
+
+def _plain(value):
+    """Values as both engines give them: numbers rounded, rows and arrays as lists."""
+    if isinstance(value, (list, tuple)):
+        return [_plain(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, bool) or value is None or isinstance(value, str):
+        return value
+    if isinstance(value, (int, float, decimal.Decimal)):
+        return float(f"{float(value):.8g}") + 0.0
+    return str(value)
