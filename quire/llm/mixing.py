@@ -8,7 +8,9 @@ its source's stream trains at the time where demand reaches c + size / 2.  Inver
 quadratic is closed form, so positions need no search.  Rows come back range-sorted by position.
 
 A source's stream is its documents in md5 order, again and again.  Running sums take two steps, over
-md5 prefixes and inside one prefix, so a source that holds most rows is still spread over all tasks.
+md5 prefixes and inside one prefix, so a source that holds most rows is still spread over all tasks; there are about as
+many prefixes as rows in one.  Rows that agree in id and length have one md5: where they outgrow a prefix, the table is
+written with a number for each row, by which such a prefix is dealt into several.
 
 Defined cases: null text has size 0 and is taken with 0 tokens; null source is a source of its own, last
 in order; a null id is ordered as an empty one; rows that repeat a document are documents of their own;
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quire.llm.common import WORD, word_count
+from quire.llm.common import WORD, word_count, written
 
 #: (time, weight) knots, in order of time, from 0 to 1.
 Schedule = Sequence[tuple[float, float]]
@@ -68,7 +70,7 @@ def _invert(share: Column, knots: Column) -> Column:
     return F.least(F.lit(1.0), k["t"] + F.when(rest == 0, 0.0).otherwise(2.0 * rest / (k["w"] + root)))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), slopes: Sequence[float] = (0.5, 0.0, -0.5), *, in_order: bool = True, share: float = 1.5, max_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_part: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), slopes: Sequence[float] = (0.5, 0.0, -0.5), *, in_order: bool = True, share: float = 1.5, max_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_part: int = 1000) -> DataFrame:
     """All rows with size, source_size, target, copies (times the document is taken), taken, positions (of each copy) and position (of the first; null for none).
 
     Weights and slopes repeat over the sources in code point order, null last.  One row a source is held
@@ -76,8 +78,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), slopes: Sequence[
     """
     docs = docs.drop(*[c for c in _OUT if c in docs.columns])
     text, source = F.col(text_col), F.col(source_col)
+    order = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.octet_length(text), F.lit(0)).cast("string")).cast("binary"))
+    # one pass over the texts: bytes and rows by source and the first 16 bits of the order
+    sizes_by = docs.select(source.alias("s"), F.conv(F.substring(order, 1, 4), 16, 10).cast("int").alias("p"), word_count(text).alias("b")).groupBy("s", "p").agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    coarse = written(sizes_by)
+    per = coarse.groupBy("s").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()
+    n_rows = sum(r["n"] for r in per)
+    bits = max(1, math.ceil(math.log2(max(2, n_rows / max(rows_per_part, math.isqrt(n_rows))))))
+    shift = lambda c: F.shiftright(c, 16 - min(bits, 16)) if bits <= 16 else c
+    full = 8 * max(rows_per_part, math.isqrt(n_rows))
+    hot = [(r["s"], r["p"]) for r in coarse.groupBy("s", shift(F.col("p")).alias("p")).agg(F.sum("n").alias("n")).filter(F.col("n") > full).collect()] if bits <= 16 else []
+    # a part that outgrows the others by far holds rows of one md5, if any does
+    dealt = math.ceil(n_rows / full) + 1 if hot else 1
+    if hot:
+        docs = written(docs.withColumn(f"{_P}row", F.monotonically_increasing_id()))
     sized = docs.withColumn("size", word_count(text))
-    per = sized.groupBy(source.alias("s")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
     per.sort(key=lambda r: (r["s"] is None, r["s"] if isinstance(r["s"], str) else str(r["s"])))
     sizes = [r["b"] for r in per]
     plans = [ramp(weights[i % len(weights)], slopes[i % len(slopes)]) for i in range(len(per))]
@@ -95,14 +110,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), slopes: Sequence[
         T.StructField(f"{_P}s", docs.schema[source_col].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()),
         T.StructField(f"{_P}full", T.IntegerType()), T.StructField(f"{_P}rest", T.DoubleType()), T.StructField(f"{_P}knots", T.ArrayType(knot)),
     ]))
-    digits = max(1, math.ceil(math.log(max(2, sum(r["n"] for r in per) / rows_per_part), 16)))
-    order = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.octet_length(text), F.lit(0)).cast("string")).cast("binary"))
     # one key that is never null: the running sum and the join below deal rows out alike, so they move once
-    part = F.concat(F.coalesce(F.concat(F.lit("v"), source.cast("string")), F.lit("n")), F.lit(":"), F.substring(f"{_P}order", 1, digits))
-    keyed = sized.withColumns({f"{_P}order": order, f"{_P}tie": F.xxhash64(text)}).withColumn(f"{_P}part", part)
-    parts = keyed.groupBy(source.alias(f"{_P}s"), f"{_P}part").agg(F.sum("size").alias(f"{_P}part_size"))
-    before = Window.partitionBy(f"{_P}s").orderBy(f"{_P}part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(f"{_P}part", F.coalesce(F.sum(f"{_P}part_size").over(before), F.lit(0)).alias(f"{_P}before"))
+    number = shift(F.conv(F.substring(f"{_P}order", 1, 4), 16, 10).cast("int")) if bits <= 16 else F.shiftright(F.conv(F.substring(f"{_P}order", 1, 8), 16, 10).cast("long"), max(0, 32 - bits))
+    keyed = sized.withColumns({f"{_P}order": order, f"{_P}tie": F.xxhash64(text)}).withColumn(f"{_P}p", number)
+    if hot:
+        where = docs.sparkSession.createDataFrame(hot, T.StructType([T.StructField(f"{_P}s", docs.schema[source_col].dataType), T.StructField(f"{_P}hot", T.IntegerType())]))
+        is_hot = keyed[source_col].eqNullSafe(where[f"{_P}s"]) & (keyed[f"{_P}p"] == where[f"{_P}hot"])
+        lane = F.when(F.col(f"{_P}hot").isNotNull(), F.pmod(F.xxhash64(f"{_P}row"), F.lit(dealt))).otherwise(0)
+        keyed = keyed.join(F.broadcast(where), is_hot, "left").withColumn(f"{_P}lane", lane).drop(f"{_P}s", f"{_P}hot", f"{_P}row")
+    else:
+        keyed = keyed.withColumn(f"{_P}lane", F.lit(0).cast("long"))
+    part = lambda c: F.concat_ws(":", F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")), F.col(f"{_P}p").cast("string"), F.col(f"{_P}lane").cast("string"))
+    keyed = keyed.withColumn(f"{_P}part", part(source))
+    if hot or bits > 16:
+        parts = keyed.groupBy(source.alias(f"{_P}s"), f"{_P}p", f"{_P}lane").agg(F.sum("size").alias(f"{_P}part_size"))
+    else:
+        parts = coarse.groupBy(F.col("s").alias(f"{_P}s"), shift(F.col("p")).alias(f"{_P}p")).agg(F.sum("b").alias(f"{_P}part_size")).withColumn(f"{_P}lane", F.lit(0).cast("long"))
+    before = Window.partitionBy(f"{_P}s").orderBy(f"{_P}p", f"{_P}lane").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(part(F.col(f"{_P}s")).alias(f"{_P}part"), F.coalesce(F.sum(f"{_P}part_size").over(before), F.lit(0)).alias(f"{_P}before"))
     inside = Window.partitionBy(f"{_P}part").orderBy(f"{_P}order", id_col, f"{_P}tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn(f"{_P}inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, f"{_P}part")
     placed = placed.join(F.broadcast(plan), placed[source_col].eqNullSafe(plan[f"{_P}s"]), "left")
@@ -116,7 +141,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), slopes: Sequence[
         .withColumn("taken", F.col("copies") * F.col("size"))
         .withColumn("positions", times)
         .withColumn("position", F.get("positions", F.lit(0)))
-        .drop(*[f"{_P}{c}" for c in ("s", "full", "rest", "knots", "order", "tie", "part", "before", "inside")])
+        .drop(*[f"{_P}{c}" for c in ("s", "full", "rest", "knots", "order", "tie", "p", "lane", "part", "before", "inside")])
     )
     return out.orderBy("position", id_col) if in_order else out
 

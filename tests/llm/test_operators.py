@@ -101,6 +101,23 @@ def test_mixing(docs, rows, odd, empty):
     assert copies.count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("doc_id", ["cast(7 as long)", "cast(null as long)"])
+def test_mixing_of_equal_rows(spark, doc_id):
+    """Rows that agree in everything outgrow a part and are dealt over several; targets hold as for others."""
+    same = spark.range(3000).select(F.expr(doc_id).alias("doc_id"), F.lit("three words here").alias("text"), F.lit("a").alias("source"))
+    rest = spark.range(600).select((F.col("id") + 10).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, "b").alias("source"))
+    rows = same.unionByName(rest)
+    got = mixing.mix(rows, rows_per_part=10).collect()
+    again = mixing.mix(rows, rows_per_part=10).collect()
+    assert len(got) == 3600 and Counter(map(str, got)) == Counter(map(str, again))
+    for s in ("a", "b", None):
+        mine = [r for r in got if r.source == s]
+        assert sum(r["size"] for r in mine) == mine[0].source_size
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r["size"] for r in mine) + 1
+    plain = mixing.mix(rows).collect()
+    assert {s: sum(r.taken for r in plain if r.source == s) for s in ("a", "b", None)} == {s: sum(r.taken for r in got if r.source == s) for s in ("a", "b", None)}
+
+
 def test_mixing_inverts_schedules():
     plan = mixing.ramp(2.0, 0.5)
     assert mixing.integral(plan) == pytest.approx(2.0)
