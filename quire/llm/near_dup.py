@@ -219,8 +219,10 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = 6, i
         drop_written(member)
         return described, None
     score = member.groupBy("node").agg(F.sum("c").alias("score"))
-    leader = member.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("lead"))
+    # written, so that the join below is on exchanged rows alone and a band with very many members can be split over tasks
+    leader = written(member.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("lead")))
     led = written(member.join(leader, "key").filter("node != lead.node").select(F.col("node").alias("a"), F.col("lead.node").alias("b"), "lead.score", F.col("n").alias("na"), F.col("lead.n").alias("nb")).groupBy("a", "b").agg(F.max("score").alias("score"), F.max("na").alias("na"), F.max("nb").alias("nb")))
+    drop_written(leader)
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     some = member.select("node").distinct()
     reps = described.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "th")).alias("r")).join(some, "node").select("r.id", "r.th", "node")
