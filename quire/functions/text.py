@@ -31,7 +31,8 @@ def _folding() -> tuple[str, str]:
 
 def fold(c: Column) -> Column:
     """Lower case without accents; white space stays."""
-    return F.regexp_replace(F.translate(F.lower(c), *_folding()), r"\p{Mn}", "")
+    accents = lambda x: F.regexp_replace(F.translate(x, *_folding()), r"\p{Mn}", "")
+    return let(F.lower(c), lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(accents(x)))
 
 
 def squeeze(c: Column) -> Column:
@@ -46,15 +47,19 @@ def strip(c: Column, chars: str = r"\s") -> Column:
 
 def has_any(c: Column, words: list[str]) -> Column:
     """Whether any of the words is a substring."""
-    out = F.lit(False)
-    for w in words:
-        out = out | c.contains(w)
-    return out
+
+    def each(x: Column) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | x.contains(w)
+        return out
+
+    return let(c, each)
 
 
 def hits(c: Column, words: list[str]) -> Column:
     """How many of the words are substrings."""
-    return sum((c.contains(w).cast("int") for w in words), F.lit(0))
+    return let(c, lambda x: sum((x.contains(w).cast("int") for w in words), F.lit(0)))
 
 
 def has_phrase(c: Column, phrase: str) -> Column:

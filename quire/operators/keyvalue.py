@@ -18,10 +18,14 @@ _LONG_STOPS = [s for s in L.STOP_LABELS if len(s) >= 4]
 
 def canonical(norm: Column) -> Column:
     """The first field whose alias the label holds."""
-    out = None
-    for name, aliases in {**L.SECTION_ALIASES, **L.FIELD_ALIASES}.items():
-        out = F.when(has_any(norm, aliases), name) if out is None else out.when(has_any(norm, aliases), name)
-    return out
+
+    def first(n: Column) -> Column:
+        out = None
+        for name, aliases in {**L.SECTION_ALIASES, **L.FIELD_ALIASES}.items():
+            out = F.when(has_any(n, aliases), name) if out is None else out.when(has_any(n, aliases), name)
+        return out
+
+    return let(norm, first)
 
 
 def known_label(norm: Column) -> Column:
@@ -86,11 +90,11 @@ def pair(label: Column, value: Column, source: str, confidence: float, page: Col
     def make(x: Column) -> Column:
         first = F.get(F.filter(F.transform(F.split(x["value"], "\n"), lambda v: strip(v)), lambda v: v != ""), F.lit(0))
         return F.struct(
-            x["label"].alias("label"), squeeze(x["label"]).alias("norm"), canonical(squeeze(x["label"])).alias("canonical"), x["value"].alias("value"), F.coalesce(first, x["value"]).alias("display"),
+            x["label"].alias("label"), x["norm"].alias("norm"), canonical(x["norm"]).alias("canonical"), x["value"].alias("value"), F.coalesce(first, x["value"]).alias("display"),
             F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), page.cast("int").alias("page"), lines.cast("array<int>").alias("lines"),
         ).cast(PAIR)
 
-    return let(F.struct(strip(label).alias("label"), strip(value).alias("value")), make)
+    return let(F.struct(strip(label).alias("label"), strip(value).alias("value")), lambda x: let(F.struct(x["label"].alias("label"), squeeze(x["label"]).alias("norm"), x["value"].alias("value")), make))
 
 
 def inline_pairs(lines: Column, page: Column) -> Column:

@@ -360,3 +360,9 @@ def test_nested_form_exchanges_items_only(spark, tmp_path):
 def test_texts_are_dealt_over_all_parts(spark):
     """Few bytes of orders become much work, so their parts aren't merged."""
     assert synthetic.ocr_text(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_labels_are_folded_once(spark):
+    """A label is folded once for all aliases, not once for each."""
+    plan = spark.createDataFrame([(1, "Bill To: A")], "doc_id long, text string").select(K.canonical(X.squeeze(F.col("text"))).alias("c"), X.hits(X.fold(F.col("text")), ["a", "b", "c"]).alias("h"), X.has_any(X.fold(F.col("text")), ["a", "b", "c"]).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("translate(") <= 3
