@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import unicodedata
 from functools import cache
 
@@ -64,7 +66,21 @@ def hits(c: Column, words: list[str]) -> Column:
 
 def has_phrase(c: Column, phrase: str) -> Column:
     """Whether the phrase stands between characters other than a-z and 0-9."""
-    return c.rlike(rf"(?<![a-z0-9])\Q{phrase}\E(?![a-z0-9])")
+    return c.contains(phrase) & c.rlike(rf"(?<![a-z0-9])\Q{phrase}\E(?![a-z0-9])")
+
+
+def literal_start(pattern: str) -> str:
+    """Letters that any match of a pattern has after its word boundary; empty where that isn't plain."""
+    found = re.match(r"\\b(?:\(\?:([a-z |]+)\)|([a-z ]+))", pattern)
+    if not found:
+        return ""
+    letters = os.path.commonprefix((found[1] or found[2]).split("|"))
+    return letters[:-1] if pattern[found.end() : found.end() + 1] in {*"?*{|"} else letters
+
+
+def matched(c: Column, pattern: str) -> Column:
+    """Whether the pattern is found; its first letters are sought before."""
+    return c.contains(literal_start(pattern)) & c.rlike(pattern)
 
 
 def distinct_in_order(values: Column) -> Column:

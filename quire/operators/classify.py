@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import lexicon as L
 from quire.functions.kernels import let
-from quire.functions.text import fold, has_phrase
+from quire.functions.text import fold, has_phrase, matched
 
 
 def _by_score(score: Column, table: dict[int, float]) -> Column:
@@ -18,7 +18,7 @@ def _by_score(score: Column, table: dict[int, float]) -> Column:
 
 def invoice_score(norm: Column) -> Column:
     """Two for each strong pattern, one for each medium one; 0 where the evidence is a mere mention."""
-    count = lambda ps: sum((norm.rlike(p).cast("int") for p in ps), F.lit(0))
+    count = lambda ps: sum((matched(norm, p).cast("int") for p in ps), F.lit(0))
     evidence = F.struct((count(L.STRONG_INVOICE) * 2).alias("strong"), count(L.MEDIUM_INVOICE).alias("medium"))
 
     def weigh(x: Column) -> Column:

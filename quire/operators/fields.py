@@ -29,7 +29,7 @@ def dates(text: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    return distinct_in_order(matches(text, L.EMAIL))
+    return F.when(~text.contains("@"), F.array().cast("array<string>")).otherwise(distinct_in_order(matches(text, L.EMAIL)))
 
 
 def phones(text: Column) -> Column:
@@ -120,11 +120,11 @@ def extract_fields(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """
 
     def every(row: Column) -> Column:
-        text, kind, lines = row["text"], row["kind"], row["lines"]
+        text, kind, lines, days = row["text"], row["kind"], row["lines"], row["days"]
         invoice, financial = kind == "invoice", kind.isin("invoice", "receipt")
         party_confidence = F.when(kind.isin("contract", "invoice"), 0.68).otherwise(0.58)
         made = {
-            "primary_date": field(F.get(dates(text), F.lit(0)), 0.76, "regex:date"), "dates": many(dates(text), 0.7, "regex:date"), "emails": many(emails(text), 0.88, "regex:email"),
+            "primary_date": field(F.get(days, F.lit(0)), 0.76, "regex:date"), "dates": many(days, 0.7, "regex:date"), "emails": many(emails(text), 0.88, "regex:email"),
             "phone_numbers": many(phones(text), 0.75, "regex:phone"), "tax_codes": F.when(invoice, many(tax_codes(lines), 0.82, "regex:tax_code")),
             "total_amount": F.when(financial, total_amount(lines, text)), "invoice_number": F.when(invoice, invoice_number(lines)),
         }
@@ -135,7 +135,7 @@ def extract_fields(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             made[name] = F.coalesce(made[name], late) if name in made else late
         return F.filter(F.array(*[F.struct(F.lit(n).alias("field_name"), made[n].alias("f")) for n in NAMES]), lambda x: x["f"].isNotNull())
 
-    row = let(F.coalesce(F.col(text_col), F.lit("")), lambda t: F.struct(t.alias("text"), F.col("document_type").alias("kind"), lines_of(t).alias("lines")))
+    row = let(F.coalesce(F.col(text_col), F.lit("")), lambda t: F.struct(t.alias("text"), F.col("document_type").alias("kind"), lines_of(t).alias("lines"), dates(t).alias("days")))
     return docs.withColumn("fields", let(row, every))
 
 

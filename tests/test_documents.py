@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import lexicon as L
 from quire.functions import text as X
 from quire.functions.kernels import clusters, nearest_rank
 from quire.operators import answers as A
@@ -366,3 +367,12 @@ def test_labels_are_folded_once(spark):
     """A label is folded once for all aliases, not once for each."""
     plan = spark.createDataFrame([(1, "Bill To: A")], "doc_id long, text string").select(K.canonical(X.squeeze(F.col("text"))).alias("c"), X.hits(X.fold(F.col("text")), ["a", "b", "c"]).alias("h"), X.has_any(X.fold(F.col("text")), ["a", "b", "c"]).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("translate(") <= 3
+
+
+def test_patterns_are_sought_by_their_letters(spark):
+    """A pattern's first letters decide most texts; what is found is as by the pattern alone."""
+    assert [X.literal_start(p) for p in (r"\binvoice\s*#(?=\s|$)", r"\b(?:bill|billed|billing)\s+to\b", r"\binvoices?\b", r"x|y")] == ["invoice", "bill", "invoice", ""]
+    d = spark.createDataFrame([("billed  to a",), ("rebill to b",), ("invoice# 1",), ("invoices",), ("sub total",), ("",), (None,)], "n string")
+    patterns = [*L.STRONG_INVOICE, *L.MEDIUM_INVOICE, *L.REFERENCE_LISTS]
+    got = d.select(F.array(*[X.matched(F.col("n"), p) for p in patterns]).alias("a"), F.array(*[F.col("n").rlike(p) for p in patterns]).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(r.a.count(True) for r in got) > 4
