@@ -42,7 +42,7 @@ def nearby(lines: Column, y_gap: float, x_gap: float) -> Column:
     return let(ordered, cut)
 
 
-def _table(lines: Column, has_table: Column) -> Column:
+def _table(lines: Column, has_table: Column, reach: float | None) -> Column:
     def scored(g: Column) -> Column:
         text = F.array_join(F.transform(g["lines"], lambda x: x["norm"]), " ")
         both = lambda t: has_any(t, ["item", "description", "hang hoa"]) & has_any(t, ["amount", "total", "thanh tien"])
@@ -53,7 +53,8 @@ def _table(lines: Column, has_table: Column) -> Column:
 
     def grow(head: Column) -> Column:
         bottom = F.array_max(F.transform(head, lambda x: x["y2"]))
-        body = let(bottom, lambda b: take_until(F.filter(lines, lambda x: x["cy"] > b), lambda x: has_any(x["norm"], L.LAYOUT_TOTAL) | (x["cy"] - b > 0.62)))
+        far = lambda x, b: F.lit(False) if reach is None else x["cy"] - b > reach
+        body = let(bottom, lambda b: take_until(F.filter(lines, lambda x: x["cy"] > b), lambda x: has_any(x["norm"], L.LAYOUT_TOTAL) | far(x, b)))
         full = let(body, lambda d: F.when(F.size(d) > 0, region("table", F.concat(head, d), 0.86, "layout_rule:table_header")))
         dense = F.filter(lines, lambda x: (x["cy"] >= 0.18) & (x["cy"] <= 0.80))
         other = F.when(has_table, let(dense, lambda d: F.when(F.size(d) >= 3, region("table", d, 0.58, "layout_rule:table_from_extractor", L.REGION_LABELS["dense_table"]))))
@@ -80,10 +81,11 @@ def _keep(r: Column) -> Column:
     return F.filter(F.array(r), lambda x: x.isNotNull())
 
 
-def regions(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+def regions(pages: DataFrame, tables: DataFrame | None = None, *, table_reach: float | None = 0.62) -> DataFrame:
     """(doc_id, page, ord, type, label, x, y, width, height, text, confidence, source) of every region.
 
     ``tables``: (doc_id, page) of pages with an extracted table, where the densest part counts as one.
+    ``table_reach``: how far below its head a table may go, as a share of the page; None: to its last line.
     """
     p = pages.select("doc_id", "page", positioned(F.col("lines")).alias("lines")).filter(F.size("lines") > 0)
     if tables is not None:
@@ -91,7 +93,7 @@ def regions(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     else:
         p = p.withColumn("_has", F.lit(False))
     none = F.array().cast(f"array<{REGION}>")
-    p = once(p, "_table", _table(F.col("lines"), F.col("_has")))
+    p = once(p, "_table", _table(F.col("lines"), F.col("_has"), table_reach))
     p = once(p, "_found", F.concat(_keep(F.col("_table")), _keep(_title(F.col("lines")))).cast(f"array<{REGION}>"))
     top = lambda d: F.coalesce(F.col("_table.y") / 100, F.lit(d))
     total = lambda x: has_any(x["norm"], L.LAYOUT_TOTAL)

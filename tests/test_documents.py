@@ -376,3 +376,36 @@ def test_patterns_are_sought_by_their_letters(spark):
     patterns = [*L.STRONG_INVOICE, *L.MEDIUM_INVOICE, *L.REFERENCE_LISTS]
     got = d.select(F.array(*[X.matched(F.col("n"), p) for p in patterns]).alias("a"), F.array(*[F.col("n").rlike(p) for p in patterns]).alias("b")).collect()
     assert all(r.a == r.b for r in got) and sum(r.a.count(True) for r in got) > 4
+
+
+def _both(spark, name, at, items):
+    """A query's rows and its SQL's over lineitem in the given order of rows, with the folder's parts."""
+    import duckdb
+
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double").coalesce(1).write.mode("overwrite").parquet(f"{at}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(at))
+    found = con.sql(registry.ORACLE_SQL[name]).to_arrow_table().select(got.columns).to_pylist()
+    order = lambda rows: sorted(repr(_plain(list(r.values()))) for r in rows)
+    return order(r.asDict() for r in got.collect()), order(found)
+
+
+def test_layout_table_has_its_last_items(spark, tmp_path):
+    """A table of 19 items or more goes further below its head than elsewhere a page's table may; elsewhere that rule stays."""
+    spark.createDataFrame([(k, f"part {k}", 10.0 + k) for k in range(3)], "p_partkey long, p_name string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    items = [(n, k % 3, k % 7, 1.0 + k, 10.5 * k) for n in (17, 18, 19, 20, 26) for k in range(n)]
+    got, want = _both(spark, "layout_table", tmp_path, items)
+    assert got == want and len(got) == 5
+    ends = Y.regions(P.pages(synthetic.structured(spark, str(tmp_path)))).filter("type = 'table'").select("doc_id", F.size(F.split("text", "\n")).alias("n")).collect()
+    assert {r.doc_id: r.n for r in ends} == {n: 5 + 5 * min(n, 18) for n in (17, 18, 19, 20, 26)}
+
+
+def test_best_entity_where_its_sql_leaves_the_order_open(spark, tmp_path):
+    """Two items of an order can share a place if part keys go beyond a million; the SQL's value then hangs on the rows' order, ours doesn't."""
+    spark.createDataFrame([(7, "a", 1.0)], "p_partkey long, p_name string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    one, two, other = (1, 1000007, 1, 1.0, 1.0), (1, 7, 2, 1.0, 1.0), (2, 1000007, 1, 1.0, 1.0)
+    a, b = _both(spark, "best_entity_field", tmp_path, [one, two, other]), _both(spark, "best_entity_field", tmp_path, [two, one, other])
+    assert a[0] == b[0] and a[0] in (a[1], b[1]) and a[1] != b[1]
