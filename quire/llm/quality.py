@@ -120,15 +120,26 @@ def score_texts(column: pa.Array, part: np.ndarray, shape: Shape, block: int = 1
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, shape: Shape = Shape()) -> np.ndarray:
-    """Learns from at most ``max_rows`` labelled rows; ids are chosen first, so only their texts move."""
+    """Learns from at most ``max_rows`` labelled rows; ids are chosen first, so only their texts move, and they are learned from in one task: the driver
+    gets the finished numbers."""
     clean = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y2")).filter("y = y2")
-    ids = clean.orderBy(F.xxhash64(id_col), id_col).limit(max_rows).select(id_col, "y").toPandas()
-    if not len(ids):
-        return np.zeros(_FIRST + shape.word_slots + shape.gram_slots)
-    chosen = docs.sparkSession.createDataFrame(ids.astype({"y": int}), T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("y", T.IntegerType())]))
+    ids = clean.orderBy(F.xxhash64(id_col), id_col).limit(max_rows).select(id_col, F.col("y").cast("int").alias("y")).toArrow()
+    none = np.zeros(_FIRST + shape.word_slots + shape.gram_slots)
+    if not ids.num_rows:
+        return none
+    chosen = docs.sparkSession.createDataFrame(ids, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("y", T.IntegerType())]))
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, F.col(text_col).alias("t"), "y")
-    rows = rows.orderBy(F.xxhash64(id_col), id_col, "t").limit(max_rows).toArrow()
-    return train([t or "" for t in rows["t"].to_pylist()], rows["y"].to_pylist(), shape)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for b in batches:
+            texts += b.column("t").to_pylist()
+            marks += b.column("y").to_pylist()
+        if marks:
+            yield pa.RecordBatch.from_arrays([pa.array([train([t or "" for t in texts], marks, shape).tobytes()], pa.binary())], names=["part"])
+
+    part = rows.orderBy(F.xxhash64(id_col), id_col, "t").limit(max_rows).select("t", "y").mapInArrow(learn, "part binary").collect()
+    return np.frombuffer(part[0]["part"]).copy() if part else none
 
 
 def score(docs: DataFrame, part: np.ndarray, *, text_col: str = "text", threshold: float = 0.7, shape: Shape = Shape(), score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -790,3 +791,12 @@ def test_pipeline(spark, tmp_path):
             assert {r.doc_id for r in kept.collect()} == {i for i, v in brute_groups(rows, 5, 80).items() if v[2]}
     ran = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, ran.select(sorted(ran.columns)).collect())) == sorted(map(str, kept.select(sorted(ran.columns)).collect()))
+
+
+def test_quality_learns_in_a_task(spark, monkeypatch):
+    """Training's memory isn't the driver's."""
+    d = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    here = os.getpid()
+    monkeypatch.setattr(quality, "train", lambda texts, marks, shape: np.array([float(os.getpid() == here), len(texts), sum(marks)]))
+    assert quality.fit(d, labels).tolist() == [0.0, 20.0, 10.0]
