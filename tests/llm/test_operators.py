@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -800,3 +801,26 @@ def test_quality_learns_in_a_task(spark, monkeypatch):
     here = os.getpid()
     monkeypatch.setattr(quality, "train", lambda texts, marks, shape: np.array([float(os.getpid() == here), len(texts), sum(marks)]))
     assert quality.fit(d, labels).tolist() == [0.0, 20.0, 10.0]
+
+
+def test_lm_learns_from_every_unit(spark, monkeypatch):
+    """Clusters and weights come from all training texts, of any size, and packed chunks come out as they went in."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    pieces, fitted, fit = lm.Pieces(path), [], lm._fitted
+    monkeypatch.setattr(lm, "_fitted", lambda *a: fitted.append(fit(*a)))
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["alpha", "béta", "gamma", "x1", "delta"]) for _ in range(n)) for n in [0, 1, 900] + [37] * 60]
+    shape = lm.Shape(units=32, clusters=4, dim=4, hidden=4, window=6, stride=3, epochs=3, least=1, enough=1, chunk=8)
+    d = spark.createDataFrame([(i, t, i % 5 > 0) for i, t in enumerate(texts)], "doc_id long, text string, learned boolean")
+    assert lm.score(d, F.col("learned"), path, shape=shape, fit_bytes=1, part_bytes=700, group_bytes=4000).count() == len(texts)
+    assert fitted == [sum(sum(len(pieces.ids([w.encode()])[0]) for w in words(t)) + 1 for i, t in enumerate(texts) if i % 5)]
+    model = lm.train(pa.chunked_array([texts]), pieces, shape)
+    data, offsets = lm.text_bytes(pa.chunked_array([texts]))
+    lines = lm._chunks(data, offsets, *lm.word_bounds(data, offsets), np.ones(len(texts), bool), np.arange(len(texts)), 1.0, 8)
+    rows = [tuple(x) for x in lm._packed(lines, model, pieces)]
+    assert len(rows) == 8
+    for got, want in zip(lm._unpacked(rows, shape)[:2], lm._chunk_units(lines, model, pieces)[:2], strict=True):
+        assert got.tolist() == want.tolist()
+    assert lm._rounds(lm.Shape(), 100_000_000) == (9, 3) and lm._rounds(lm.Shape(), 1_000_000) == (6, 1)
