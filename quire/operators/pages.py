@@ -23,26 +23,38 @@ def _place(g: Column) -> list[Column]:
     return [g[c].alias(c) for c in ("x1", "y1", "x2", "y2")] + [((g["x1"] + g["x2"]) / 2).alias("cx"), ((g["y1"] + g["y2"]) / 2).alias("cy"), F.greatest(g["x2"] - g["x1"], F.lit(0.001)).alias("width"), F.greatest(g["y2"] - g["y1"], F.lit(0.001)).alias("height")]
 
 
-def pages(docs: DataFrame) -> DataFrame:
+def sheets(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, page, page_width, page_height, n_lines) of (doc_id, pages), and what more is made of the page ``p``. n_lines: all of the page's lines, blank ones too."""
+    p = docs.select("doc_id", F.posexplode("pages").alias("i", "p"))
+    dims = F.col("p.dimensions")
+    ok = (dims["width"] > 0) & (dims["height"] > 0)
+    n_lines = F.coalesce(F.aggregate("p.blocks", F.lit(0), lambda n, b: n + F.greatest(F.size(F.coalesce(b["lines"], F.array())), F.lit(0))), F.lit(0))
+    return p.select("doc_id", (F.col("i") + 1).alias("page"), F.when(ok, dims["width"]).otherwise(1000.0).alias("page_width"), F.when(ok, dims["height"]).otherwise(1000.0).alias("page_height"), n_lines.alias("n_lines"), *more)
+
+
+def pages(docs: DataFrame, words: bool = True) -> DataFrame:
     """(doc_id, page, page_width, page_height, n_lines, lines, words) from (doc_id, pages).
 
     n_lines: all of the page's lines, blank ones too; lines: texts that aren't blank, numbered over the page in document order (``ord``), with a null box where
-    neither line nor words have one; words: those with a box, in document order.
+    neither line nor words have one; words: those with a box, in document order. Without words, lines have none either (rules on lines then copy
+    none with each line) and n_words has their number.
     """
-    p = docs.select("doc_id", F.posexplode("pages").alias("i", "p"))
-    dims = F.col("p.dimensions")
-    ok = (dims["width"] > 0) & (dims["height"] > 0)
+    inner = lambda ws: [ws.alias("words")] if words else []
+    shown = lambda w: w["geometry"].isNotNull() & (strip(w["value"]) != "")
 
     def line(block: Column, b: Column, x: Column, n: Column) -> Column:
         kept = F.filter(x["words"], lambda w: F.coalesce(w["value"], F.lit("")) != "")
-        return let(kept, lambda ws: let(F.coalesce(x["geometry"], _box(ws)), lambda g: F.struct((b + 1).alias("block"), (n + 1).alias("line"), strip(F.array_join(F.transform(ws, lambda w: w["value"]), " ")).alias("text"), *_place(g), ws.alias("words"))))
+        return let(kept, lambda ws: let(F.coalesce(x["geometry"], _box(ws)), lambda g: F.struct((b + 1).alias("block"), (n + 1).alias("line"), strip(F.array_join(F.transform(ws, lambda w: w["value"]), " ")).alias("text"), *_place(g), *inner(ws))))
 
     every = F.flatten(F.transform("p.blocks", lambda block, b: F.transform(block["lines"], lambda x, n: line(block, b, x, n))))
-    numbered = let(F.filter(every, lambda x: x["text"] != ""), lambda a: F.transform(a, lambda x, i: F.struct((i + 1).alias("ord"), x["block"].alias("block"), x["line"].alias("line"), x["text"].alias("text"), fold(x["text"]).alias("norm"), *[x[c].alias(c) for c in ("x1", "y1", "x2", "y2", "cx", "cy", "width", "height")], x["words"].alias("words"))))
-    rows = p.select("doc_id", (F.col("i") + 1).alias("page"), F.when(ok, dims["width"]).otherwise(1000.0).alias("page_width"), F.when(ok, dims["height"]).otherwise(1000.0).alias("page_height"), F.coalesce(F.aggregate("p.blocks", F.lit(0), lambda n, b: n + F.greatest(F.size(F.coalesce(b["lines"], F.array())), F.lit(0))), F.lit(0)).alias("n_lines"), F.explode(F.array(numbered)).alias("lines"))
+    numbered = let(F.filter(every, lambda x: x["text"] != ""), lambda a: F.transform(a, lambda x, i: F.struct((i + 1).alias("ord"), x["block"].alias("block"), x["line"].alias("line"), x["text"].alias("text"), fold(x["text"]).alias("norm"), *[x[c].alias(c) for c in ("x1", "y1", "x2", "y2", "cx", "cy", "width", "height")], *(inner(x["words"]) if words else []))))
+    if not words:
+        n_words = F.size(F.filter(F.flatten(F.flatten(F.transform("p.blocks", lambda b: F.transform(b["lines"], lambda x: F.coalesce(x["words"], F.array()))))), shown))
+        return sheets(docs, F.explode(F.array(numbered)).alias("lines"), n_words.alias("n_words"))
+    rows = sheets(docs, F.explode(F.array(numbered)).alias("lines"))
     word = lambda ln, w: F.struct(ln["ord"].alias("ord"), strip(w["value"]).alias("text"), w["confidence"].alias("confidence"), *_place(w["geometry"]))
-    words = F.flatten(F.transform("lines", lambda ln: F.transform(F.filter(ln["words"], lambda w: w["geometry"].isNotNull() & (strip(w["value"]) != "")), lambda w: word(ln, w))))
-    return once(rows, "words", words)
+    found = F.flatten(F.transform("lines", lambda ln: F.transform(F.filter(ln["words"], shown), lambda w: word(ln, w))))
+    return once(rows, "words", found)
 
 
 def positioned(lines: Column) -> Column:
@@ -161,6 +173,15 @@ def low_confidence(pages_: DataFrame, limit: float = 0.55) -> DataFrame:
     return pages_.select("doc_id", "page", F.explode("words").alias("w")).filter(F.col("w.confidence") < limit).select("doc_id", "page", "w.text", "w.confidence")
 
 
+def words_below(docs: DataFrame, limit: float = 0.55) -> DataFrame:
+    """As low_confidence, of (doc_id, pages): the words are unnested without their lines."""
+    out = docs.select("doc_id", F.posexplode("pages").alias("i", "p"))
+    for field, name in (("p.blocks", "b"), ("b.lines", "l"), ("l.words", "w")):
+        out = out.select("doc_id", "i", F.explode(field).alias(name))
+    low = out.filter((F.col("w.confidence") < limit) & F.col("w.geometry").isNotNull())
+    return low.select("doc_id", (F.col("i") + 1).alias("page"), strip(F.col("w.value")).alias("text"), "w.confidence").filter(F.col("text") != "")
+
+
 def suggest_tables(pages_: DataFrame, least: int = 12) -> DataFrame:
     """(doc_id, page, n_lines) of pages with so many lines that a table is likely."""
     return pages_.filter(F.col("n_lines") >= least).select("doc_id", "page", "n_lines")

@@ -21,8 +21,8 @@ def query(sql: str | None = None):
     return add
 
 
-def pages(spark, sf_dir):
-    return P.pages(structured(spark, sf_dir))
+def pages(spark, sf_dir, **how):
+    return P.pages(structured(spark, sf_dir), **how)
 
 
 WITH = f"""WITH {LINES_SQL},
@@ -31,7 +31,7 @@ lw AS (SELECT doc_id, page, line, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, m
 
 @query(f"{WITH} SELECT doc_id, page, count(*)::INT AS n_lines, count(DISTINCT y1)::INT AS n_rows, (SELECT count(*) FROM ocr_words w WHERE w.doc_id = lw.doc_id)::INT AS n_words FROM lw GROUP BY doc_id, page".replace("(SELECT count(*) FROM ocr_words w WHERE w.doc_id = lw.doc_id)::INT AS n_words FROM lw", "sum(len(string_split(text, ' ')))::INT AS n_words FROM lw"))
 def row_clusters(spark, sf_dir):
-    return pages(spark, sf_dir).select("doc_id", "page", F.size("lines").alias("n_lines"), F.size(P.row_groups(F.col("lines"), 1.1)).alias("n_rows"), F.size("words").alias("n_words"))
+    return pages(spark, sf_dir, words=False).select("doc_id", "page", F.size("lines").alias("n_lines"), F.size(P.row_groups(F.col("lines"), 1.1)).alias("n_rows"), "n_words")
 
 
 @query(f"{WITH} SELECT DISTINCT doc_id, page, 0.0::DOUBLE AS slope FROM lw")
@@ -53,18 +53,18 @@ def bounding_boxes(spark, sf_dir):
 
 @query(f"{WITH} SELECT doc_id, page, count(*)::INT AS n_lines FROM lw GROUP BY 1, 2 HAVING count(*) >= 12")
 def suggest_tables(spark, sf_dir):
-    return P.suggest_tables(pages(spark, sf_dir))
+    return P.suggest_tables(P.sheets(structured(spark, sf_dir)))
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, page, text, confidence FROM ocr_words WHERE confidence < 0.55")
 def low_confidence_words(spark, sf_dir):
-    return P.low_confidence(pages(spark, sf_dir))
+    return P.words_below(structured(spark, sf_dir))
 
 
 @query(f"{WITH}, t AS (SELECT DISTINCT doc_id, y1 FROM lw), s AS (SELECT doc_id, y1 - lag(y1) OVER (PARTITION BY doc_id ORDER BY y1) AS d FROM t), m AS (SELECT doc_id, median(d) AS m FROM s WHERE d > 0.002 GROUP BY 1) SELECT doc_id, count(*) FILTER (WHERE d > greatest(m * 1.35, m + 0.012))::INT AS n_gaps FROM s JOIN m USING (doc_id) GROUP BY 1")
 def paragraph_gaps(spark, sf_dir):
     tops = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["y1"])))
-    return pages(spark, sf_dir).select("doc_id", F.size(F.filter(P.paragraph_gaps(tops), lambda x: x)).alias("n_gaps"))
+    return pages(spark, sf_dir, words=False).select("doc_id", F.size(F.filter(P.paragraph_gaps(tops), lambda x: x)).alias("n_gaps"))
 
 
 @query()

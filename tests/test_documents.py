@@ -358,6 +358,42 @@ def test_nested_form_exchanges_items_only(spark, tmp_path):
     assert sorted(got) == sorted(want) and len(got) > 95 * 7
 
 
+def test_nested_form_of_odd_items(spark, tmp_path):
+    """Orders that lie in several Arrow batches, a missing key, and orders whose items have no part or no price."""
+    spark.createDataFrame([(1, "a  b", 1.5), (2, None, 2.0)], "p_partkey long, p_name string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    items = [(d, 1 + k % 3, k, 1.0, 0.125 * k) for d, n in ((-5, 40), (None, 3), (7, 1), (8, 30)) for k in range(n)] + [(9, 3, 1, 1.0, None)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = {}
+    for most in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            made[most] = {r.doc_id: r.pages for r in synthetic.structured(spark, str(tmp_path)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made["7"] == made["10000"] and set(made["7"]) == {-5, None, 7, 8, 9}
+    lines = {d: [[w.value for w in x.words] for x in p[0].blocks[0].lines] for d, p in made["7"].items()}
+    assert lines[9] == [["INVOICE"], ["Bill", "To"], ["Invoice", "No", "INV-9"], ["#"], ["Item", "&", "Description"], ["Qty"], ["Rate"], ["Amount"], ["Sub", "Total"], ["Authorized", "signature"], "Thank you for your business and see you again soon friend".split(), ["Page", "1"]]
+    assert ["a", "", "b"] in lines[7] and ["Invoice", "No", "INV-9"] not in lines[None] and made["7"][None][0].blocks[0].lines[0].words[0].confidence is None
+
+
+def test_page_rules_without_words(spark):
+    """Slim pages have the same lines, counts and low words as full ones, and no word is copied with its line."""
+    box = lambda x, y: {"x1": x, "y1": y, "x2": x + 0.1, "y2": y + 0.01}
+    word = lambda t, c, g: {"value": t, "confidence": c, "geometry": g}
+    lines = [
+        {"geometry": None, "words": [word("Ünï", 0.3, box(0.1, 0.1)), word(" ", 0.1, box(0.2, 0.1)), word(" x ", 0.2, box(0.3, 0.1))]},
+        {"geometry": box(0.5, 0.5), "words": [word("none", 0.1, None), word(None, 0.1, box(0.1, 0.1)), word("sure", None, box(0.1, 0.2))]}, {"geometry": None, "words": None}, {"geometry": box(0.1, 0.9), "words": [word("\t", 0.0, box(0.1, 0.9))]},
+    ]
+    docs = spark.createDataFrame([(1, [{"dimensions": {"height": 0.0, "width": 9.0}, "blocks": [{"lines": lines}]}]), (2, [{"dimensions": None, "blocks": []}])], f"doc_id long, pages {synthetic.PAGES}")
+    full, slim = P.pages(docs), P.pages(docs, words=False)
+    assert "words" not in slim.schema["lines"].dataType.elementType.names and "words" not in slim.columns
+    plain = lambda df: sorted((r.doc_id, r.page, r.page_width, r.n_lines, [[x[c] for c in slim.schema["lines"].dataType.elementType.names] for x in r.lines]) for r in df.collect())
+    assert plain(full) == plain(slim)
+    assert sorted(r.n_words for r in slim.collect()) == sorted(len(r.words) for r in full.collect()) == [0, 3]
+    assert sorted(P.words_below(docs).collect()) == sorted(P.low_confidence(full).collect()) and P.words_below(docs).count() == 2
+    assert sorted(P.suggest_tables(P.sheets(docs), 4).collect()) == sorted(P.suggest_tables(full, 4).collect())
+
+
 def test_texts_are_dealt_over_all_parts(spark):
     """Few bytes of orders become much work, so their parts aren't merged."""
     assert synthetic.ocr_text(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
