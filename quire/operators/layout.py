@@ -81,11 +81,12 @@ def _keep(r: Column) -> Column:
     return F.filter(F.array(r), lambda x: x.isNotNull())
 
 
-def regions(pages: DataFrame, tables: DataFrame | None = None, *, table_reach: float | None = 0.62) -> DataFrame:
+def regions(pages: DataFrame, tables: DataFrame | None = None, *, table_reach: float | None = 0.62, only: str | None = None) -> DataFrame:
     """(doc_id, page, ord, type, label, x, y, width, height, text, confidence, source) of every region.
 
     ``tables``: (doc_id, page) of pages with an extracted table, where the densest part counts as one.
     ``table_reach``: how far below its head a table may go, as a share of the page; None: to its last line.
+    ``only``: the one type that is asked for; detectors after its own are left out, since none changes what those before it found, and ord counts this type's regions.
     """
     p = pages.select("doc_id", "page", positioned(F.col("lines")).alias("lines")).filter(F.size("lines") > 0)
     if tables is not None:
@@ -93,8 +94,10 @@ def regions(pages: DataFrame, tables: DataFrame | None = None, *, table_reach: f
     else:
         p = p.withColumn("_has", F.lit(False))
     none = F.array().cast(f"array<{REGION}>")
-    p = once(p, "_table", _table(F.col("lines"), F.col("_has"), table_reach))
-    p = once(p, "_found", F.concat(_keep(F.col("_table")), _keep(_title(F.col("lines")))).cast(f"array<{REGION}>"))
+    table = F.lit(None).cast(REGION) if only == "title" else _table(F.col("lines"), F.col("_has"), table_reach)
+    title = F.lit(None).cast(REGION) if only == "table" else _title(F.col("lines"))
+    p = once(p, "_table", table)
+    p = once(p, "_found", F.concat(_keep(F.col("_table")), _keep(title)).cast(f"array<{REGION}>"))
     top = lambda d: F.coalesce(F.col("_table.y") / 100, F.lit(d))
     total = lambda x: has_any(x["norm"], L.LAYOUT_TOTAL)
     number = lambda a, f: F.filter(F.transform(a, f), lambda r: r.isNotNull())
@@ -139,10 +142,15 @@ def regions(pages: DataFrame, tables: DataFrame | None = None, *, table_reach: f
     def footer(free: Column) -> Column:
         return _keep(region("footer", F.filter(free, lambda x: (x["cy"] >= 0.86) | has_any(x["norm"], L.LAYOUT_FOOTER)), 0.62, "layout_rule:bottom_or_footer_keywords"))
 
-    for detect in (header, info, totals, signature, sides, paragraphs, footer):
+    detectors = {("table", "title"): None, ("header",): header, ("important_info",): info, ("total",): totals, ("signature",): signature, ("left_column", "right_column"): sides, ("paragraph",): paragraphs, ("footer",): footer}
+    for n, detect in enumerate(detectors.values()):
+        if not detect or n > next((k for k, kinds in enumerate(detectors) if only in kinds), n):
+            continue
         used = F.flatten(F.transform("_found", lambda r: r["ids"]))
         free = let(used, lambda u: F.filter("lines", lambda x: ~F.array_contains(u, x["ord"].cast("int"))))
         p = once(p, "_found", F.concat(F.col("_found"), let(free, detect)).cast(f"array<{REGION}>"))
+    if only:
+        p = p.withColumn("_found", F.filter("_found", lambda r: r["type"] == only))
     by_place = F.transform(F.array_sort(F.transform("_found", lambda r, i: F.struct(r["y"].alias("y"), r["x"].alias("x"), i.alias("i"), r.alias("r")))), lambda s: s["r"])
     out = once(p, "_found", dedupe(by_place))
     return out.select("doc_id", "page", F.posexplode("_found").alias("i", "r")).select("doc_id", "page", (F.col("i") + 1).alias("ord"), *[f"r.{c}" for c in ("type", "label", "x", "y", "width", "height", "text", "confidence", "source")])

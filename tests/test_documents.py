@@ -460,3 +460,15 @@ def test_items_are_dealt_by_their_bytes(spark, monkeypatch):
         assert sorted(map(repr, nested.collect())) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_regions_of_one_type(spark):
+    """Regions of one type are those among all regions, and the detectors after that type's are not run."""
+    lines = [line("INVOICE", 0.4, 0.04, 0.52, 0.08), *TABLE, line("Authorized signature", 0.6, 0.7, 0.8, 0.714), line("Page 1", 0.45, 0.95, 0.5, 0.964)]
+    pages = P.pages(document(spark, lines)).cache()
+    everything = Y.regions(pages).drop("ord").collect()
+    for kind in ("title", "table", "header", "total", "signature"):
+        assert Y.regions(pages, only=kind).drop("ord").collect() == [r for r in everything if r.type == kind]
+    assert len({r.type for r in everything}) > 3
+    plan = registry.QUERIES["layout_title"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "layout_rule:title" in plan and not any(x in plan for x in ("layout_rule:table_header", "layout_rule:top_before_table", "layout_rule:bottom_or_footer_keywords"))
