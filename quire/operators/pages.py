@@ -108,13 +108,17 @@ def _ordered(items: Column, tilt: Column, width: Column, height: Column, factor:
     return let(F.array_sort(F.transform(items, place)), group)
 
 
+def word_rows() -> Column:
+    """Rows of a page's words in reading order, of its words, slope and size."""
+    return _ordered(F.col("words"), F.col("slope"), F.col("page_width"), F.col("page_height"), 0.75, 7.0)
+
+
 def reading_order(pages_: DataFrame) -> DataFrame:
     """Adds slope, row_text (rows of words in reading order) and ordered (lines in reading order, those without a box last)."""
     w, h = F.col("page_width"), F.col("page_height")
     out = once(pages_, "slope", slope(word_points(F.col("lines"), w, h), 25))
     out = once(out, "line_slope", slope(word_points(positioned(F.col("lines")), w, h), 30))
-    rows = _ordered(F.col("words"), F.col("slope"), w, h, 0.75, 7.0)
-    text = F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda x: x["text"]), " ")), "\n")
+    text = F.array_join(F.transform(word_rows(), lambda r: F.array_join(F.transform(r, lambda x: x["text"]), " ")), "\n")
     lines = F.flatten(_ordered(positioned(F.col("lines")), F.col("line_slope"), w, h, 0.9, 8.0))
     return out.withColumns({"row_text": F.when(F.size("words") > 0, text).otherwise(""), "ordered": F.concat(F.coalesce(lines, F.filter("lines", lambda x: F.lit(False))), F.filter("lines", lambda x: x["x1"].isNull()))})
 
@@ -209,3 +213,9 @@ def spaced_text(words: Column) -> Column:
         return strip(F.array_join(F.transform(words, lambda x, i: F.concat(gap(x, i), x["text"])), ""))
 
     return let(F.coalesce(median(F.filter(F.transform(words, lambda x: x["width"]), lambda v: v > 0)), F.lit(0.015)), join)
+
+
+def spaced_rows(ordered_pages: DataFrame) -> DataFrame:
+    """(doc_id, page, text): all of a page's rows of words in reading order, a line each, spaced by their gaps; empty without words."""
+    text = F.array_join(F.transform(word_rows(), spaced_text), "\n")
+    return ordered_pages.select("doc_id", "page", F.when(F.size("words") > 0, text).otherwise("").alias("text"))

@@ -69,10 +69,7 @@ def paragraph_gaps(spark, sf_dir):
 
 @query()
 def row_spacing_text(spark, sf_dir):
-    p = P.reading_order(pages(spark, sf_dir))
-    w = F.transform("words", lambda x: F.struct(x["cy"].alias("cy"), x["x1"].alias("x1"), x["text"].alias("text"), x["x2"].alias("x2"), x["width"].alias("width")))
-    first = F.filter(F.array_sort(w), lambda x: x["cy"] < 0.05)
-    return p.select("doc_id", "page", P.spaced_text(first).alias("text"))
+    return P.spaced_rows(P.reading_order(pages(spark, sf_dir)))
 
 
 @query(f"{WITH} SELECT doc_id, page, 0.214::DOUBLE AS below, 5 AS n_headers FROM lw WHERE text = '#' GROUP BY 1, 2")

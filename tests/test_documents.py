@@ -115,6 +115,22 @@ def test_reading_order(spark):
     assert [x.label for x in b] == ["left part", "right part", "second row"] and b[0].id == "1"
 
 
+def test_all_rows_are_spaced_by_their_gaps(spark):
+    lines = [line("second row", 0.1, 0.3, 0.3, 0.32), line("right part", 0.5, 0.1, 0.7, 0.12), line("left part", 0.1, 0.1, 0.3, 0.12)]
+    p = P.reading_order(P.pages(document(spark, lines)))
+    # words are 0.085 wide; 0.215 lies between left and right: more than 2.2 widths, two spaces
+    assert P.spaced_rows(p).first().text == "left part  right part\nsecond row"
+    assert P.spaced_rows(P.reading_order(P.pages(document(spark, [])))).first().text == ""
+
+
+def test_row_spacing_has_every_word_of_the_page(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.text for r in registry.QUERIES["row_spacing_text"](spark, sf).collect()}
+    words = synthetic.ocr_words(spark, sf).groupBy("doc_id").agg(F.collect_list("text").alias("w"), F.countDistinct("y1").alias("rows")).collect()
+    assert len(got) == len(words) and all(sorted(got[r.doc_id].split()) == sorted(r.w) and len(got[r.doc_id].split("\n")) == r.rows for r in words)
+    assert any("  " in t for t in got.values())
+
+
 def test_page_pairs_by_row(spark):
     lines = [line("Invoice Number", 0.6, 0.1, 0.75, 0.114), line("INV-7", 0.8, 0.1, 0.88, 0.114), line("Bill To", 0.06, 0.2, 0.13, 0.214), line("Company Name", 0.06, 0.23, 0.2, 0.244), line("Street 1", 0.06, 0.25, 0.2, 0.264)]
     p = K.page_pairs(P.pages(document(spark, lines))).first().pairs
