@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from quire.operators import pages as P
+from quire.operators import reading as R
 from quire.operators import tables as T
 from quire.sources.synthetic import LINES_SQL, structured
 
@@ -47,8 +50,7 @@ def reading_order_text(spark, sf_dir):
 
 @query(f"{WITH} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1)::VARCHAR AS id, text AS label, round(x1 * 100, 6) AS x, round(y1 * 100, 6) AS y, round((x2 - x1) * 100, 6) AS width, round((y2 - y1) * 100, 6) AS height FROM lw")
 def bounding_boxes(spark, sf_dir):
-    b = P.boxes(P.reading_order(pages(spark, sf_dir)))
-    return b.select("doc_id", "page", "id", "label", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
+    return structured(spark, sf_dir, partial(R.boxes, digits=6), R.BOXES)
 
 
 @query(f"{WITH} SELECT doc_id, page, count(*)::INT AS n_lines FROM lw GROUP BY 1, 2 HAVING count(*) >= 12")
@@ -69,7 +71,7 @@ def paragraph_gaps(spark, sf_dir):
 
 @query()
 def row_spacing_text(spark, sf_dir):
-    return P.spaced_rows(P.reading_order(pages(spark, sf_dir)))
+    return structured(spark, sf_dir, R.spaced, R.SPACED)
 
 
 @query(f"{WITH} SELECT doc_id, page, 0.214::DOUBLE AS below, 5 AS n_headers FROM lw WHERE text = '#' GROUP BY 1, 2")

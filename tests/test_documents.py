@@ -15,6 +15,7 @@ from quire.operators import keyvalue as K
 from quire.operators import layout as Y
 from quire.operators import monitoring as M
 from quire.operators import pages as P
+from quire.operators import reading as R
 from quire.operators import tables as T
 from quire.operators.classify import classify
 from quire.plans import pipeline, registry
@@ -463,6 +464,49 @@ def test_best_entity_where_its_sql_leaves_the_order_open(spark, tmp_path):
     assert a[0] == b[0] and a[0] in (a[1], b[1]) and a[1] != b[1]
 
 
+def _odd_documents(spark):
+    """Tilted, blank, boxless and tied lines, several pages and blocks, missing sizes and pages."""
+    import random
+
+    rng, docs = random.Random(5), []
+    word = lambda t, x, y, w, h: {"value": t, "confidence": 0.5, "geometry": None if t == "boxless" else {"x1": x, "y1": y, "x2": x + w, "y2": y + h}}
+    some = ["a", "Total", "boxless", " ", "", f"{chr(0xA0)}x{chr(0x2003)}", None, "Đơn", f"{chr(0x1C)}y"]
+    for k in range(60):
+        pages = []
+        for _ in range(k % 4):
+            blocks = []
+            for _ in range(rng.randint(0, 3)):
+                lines = []
+                for _ in range(rng.randint(0, 9)):
+                    x, y, tilt = rng.choice([0.1, 0.1, rng.random()]), rng.choice([0.2, 0.21, rng.random()]), rng.choice([0, 0.05, -0.1, 1.0])
+                    words = [word(rng.choice(some), x + i * 0.06, y + tilt * i * 0.06, rng.choice([0.0, 0.01, 0.05]), rng.choice([0.0, 0.01, 0.02])) for i in range(rng.randint(0, 6))]
+                    lines.append({"geometry": rng.choice([None, None, {"x1": x, "y1": y, "x2": x + 0.3, "y2": y + 0.0125}]), "words": rng.choice([words, words, words[::-1]])})
+                blocks.append({"lines": lines})
+            pages.append({"dimensions": rng.choice([{"height": 1000.0, "width": 700.0}, {"height": 0.0, "width": 5.0}, None]), "blocks": blocks})
+        docs.append({"doc_id": k, "pages": pages if k else None})
+    return spark.createDataFrame([(json.dumps(d),) for d in docs], "j string").select(F.from_json("j", datasets.DOCUMENT).alias("d")).select("d.*").coalesce(1)
+
+
+def test_reading_order_in_batches_is_that_of_rows(spark):
+    """Boxes and spaced rows of Arrow batches are those of the array functions, on odd documents too."""
+    docs = _odd_documents(spark).cache()
+    by_row = P.reading_order(P.pages(docs)).cache()
+    plain = lambda df: sorted(map(repr, df.collect()))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    want, got = plain(P.boxes(by_row)), plain(docs.mapInArrow(R.boxes, f"doc_id {kind}, {R.BOXES}"))
+    assert got == want and len(got) > 200
+    want, got = plain(P.spaced_rows(by_row)), plain(docs.mapInArrow(R.spaced, f"doc_id {kind}, {R.SPACED}"))
+    assert got == want and len(got) == 90 and any("   " in x for x in got)
+
+
+def test_doubles_are_rounded_as_in_the_jvm(spark):
+    import numpy as np
+
+    x = [0.1 + 0.2, 1.0000005, 2.0000015, 0.0000025, -1.0000005, 1e15 + 0.3, 123456.7890125, -0.0, 1e-9, 33.3333335, float("inf"), 14.2857145]
+    want = [r.r for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("r")).collect()]
+    assert R.rounded(np.array(x), 6).tolist() == want
+
+
 def test_items_are_dealt_by_their_bytes(spark, monkeypatch):
     """Many items go to more parts than a small session setting says, and are never sorted by part; the rows stay the same."""
     at = "/root/testdata/sf0.001"
