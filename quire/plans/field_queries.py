@@ -8,9 +8,10 @@ from quire.functions.text import lines_of
 from quire.operators import answers as A
 from quire.operators import fields as E
 from quire.operators import keyvalue as K
+from quire.operators import pairing
 from quire.plans.page_queries import pages
 from quire.plans.text_queries import WITH, classified
-from quire.sources.synthetic import LINES_SQL, TEXT_SQL, ocr_text, table
+from quire.sources.synthetic import LINES_SQL, TEXT_SQL, ocr_text, structured, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -52,8 +53,7 @@ def kv_row(spark, sf_dir):
 
 @query()
 def page_pairs(spark, sf_dir):
-    p = K.page_pairs(pages(spark, sf_dir)).select("doc_id", F.explode("pairs").alias("p"))
-    return p.select("doc_id", "p.label", "p.value", "p.canonical", "p.source", "p.confidence")
+    return structured(spark, sf_dir, pairing.pairs, pairing.PAIRS)
 
 
 @query(f"WITH {TEXT_SQL} SELECT doc_id, trim(substr(text, instr(text, ':') + 1)) AS value FROM lines WHERE contains(norm, 'reference code')")

@@ -15,6 +15,7 @@ from quire.operators import keyvalue as K
 from quire.operators import layout as Y
 from quire.operators import monitoring as M
 from quire.operators import pages as P
+from quire.operators import pairing
 from quire.operators import reading as R
 from quire.operators import tables as T
 from quire.operators.classify import classify
@@ -464,13 +465,12 @@ def test_best_entity_where_its_sql_leaves_the_order_open(spark, tmp_path):
     assert a[0] == b[0] and a[0] in (a[1], b[1]) and a[1] != b[1]
 
 
-def _odd_documents(spark):
+def _odd_documents(spark, some=("a", "Total", "boxless", " ", "", f"{chr(0xA0)}x{chr(0x2003)}", None, "Đơn", f"{chr(0x1C)}y"), most=6):
     """Tilted, blank, boxless and tied lines, several pages and blocks, missing sizes and pages."""
     import random
 
     rng, docs = random.Random(5), []
     word = lambda t, x, y, w, h: {"value": t, "confidence": 0.5, "geometry": None if t == "boxless" else {"x1": x, "y1": y, "x2": x + w, "y2": y + h}}
-    some = ["a", "Total", "boxless", " ", "", f"{chr(0xA0)}x{chr(0x2003)}", None, "Đơn", f"{chr(0x1C)}y"]
     for k in range(60):
         pages = []
         for _ in range(k % 4):
@@ -479,7 +479,7 @@ def _odd_documents(spark):
                 lines = []
                 for _ in range(rng.randint(0, 9)):
                     x, y, tilt = rng.choice([0.1, 0.1, rng.random()]), rng.choice([0.2, 0.21, rng.random()]), rng.choice([0, 0.05, -0.1, 1.0])
-                    words = [word(rng.choice(some), x + i * 0.06, y + tilt * i * 0.06, rng.choice([0.0, 0.01, 0.05]), rng.choice([0.0, 0.01, 0.02])) for i in range(rng.randint(0, 6))]
+                    words = [word(rng.choice(some), x + i * 0.06, y + tilt * i * 0.06, rng.choice([0.0, 0.01, 0.05]), rng.choice([0.0, 0.01, 0.02])) for i in range(rng.randint(0, most))]
                     lines.append({"geometry": rng.choice([None, None, {"x1": x, "y1": y, "x2": x + 0.3, "y2": y + 0.0125}]), "words": rng.choice([words, words, words[::-1]])})
                 blocks.append({"lines": lines})
             pages.append({"dimensions": rng.choice([{"height": 1000.0, "width": 700.0}, {"height": 0.0, "width": 5.0}, None]), "blocks": blocks})
@@ -499,6 +499,34 @@ def test_reading_order_in_batches_is_that_of_rows(spark):
     assert got == want and len(got) == 90 and any("   " in x for x in got)
 
 
+LABELS = [
+    "Bill To", "Ship To", "Invoice No", "Invoice#", "Total", "Sub Total", "Date:", "Người mua hàng", "Mẫu số:", "Item & Description", "Qty", "Rate Amount", "Payment method", "Email: a@b.c", "A# 7", "No 5  six", "#", "-", ":", " : ", "12.5", "$1,200.00", "99%",
+    "Company", "from", "date  12/3", "Mã số：", "Mã số： 5", f"so{chr(0xA0)}hd", "Thank you for your business and see you again soon", "boxless", "", None, "İnvoice", "x" * 50, "Tax code 5", "tax\tcode", "Invoice:  ", "a:b", "ab  cd", "Status#\tok", f"no{chr(0x301)}",
+]
+
+
+def test_pairs_in_batches_are_those_of_rows(spark):
+    """Pairs of Arrow batches are those of the array functions, on odd documents too."""
+    plain = lambda df: sorted(map(repr, df.collect()))
+    for most in (1, 3):
+        docs = _odd_documents(spark, LABELS, most).cache()
+        p = K.page_pairs(P.pages(docs)).select("doc_id", F.explode("pairs").alias("p")).select("doc_id", "p.label", "p.value", "p.canonical", "p.source", "p.confidence")
+        want, got = plain(p), plain(docs.mapInArrow(pairing.pairs, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {pairing.PAIRS}"))
+        assert got == want and all(sum(s in x for x in got) > 3 for s in ("inline:", "layout:", "section:"))
+
+
+def test_rules_on_labels_are_those_of_rows(spark):
+    texts = [t for t in LABELS if t is not None] + [f"{a} {b}" for a in LABELS[:14] for b in LABELS[8:24]]
+    t = F.col("t")
+    d = spark.createDataFrame([(x,) for x in texts], "t string").select(
+        t, K.is_row_label(t).alias("row"), F.coalesce(K.is_standalone(t), F.lit(False)).alias("alone"), K.is_stop(t).alias("stop"), K.is_table_head(t).alias("head"), X.squeeze(t).alias("norm"), K.canonical(X.squeeze(t)).alias("canonical"), K.split_inline(t).alias("cut"), K.is_label(t).alias("label"),
+    )
+    for r in d.collect():
+        q = pairing.rules(r.t)
+        got = (q.row, q.alone, q.stop, q.head, *pairing.named(r.t), pairing.split_inline(r.t), pairing.is_label(r.t))
+        assert got == (r.row, r.alone, r.stop, r["head"], r.norm, r.canonical, r.cut and tuple(r.cut), r.label), r.t
+
+
 def test_doubles_are_rounded_as_in_the_jvm(spark):
     import numpy as np
 
