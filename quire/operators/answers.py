@@ -19,20 +19,20 @@ def best_entities(entities: DataFrame) -> DataFrame:
     """(doc_id, field_name, value, confidence, source): the surest entity of each mapped label, the first of equals."""
     names = F.create_map(*[F.lit(x) for kv in L.ENTITY_FIELDS.items() for x in kv])
     e = entities.withColumn("field_name", F.try_element_at(names, F.col("label"))).filter("field_name IS NOT NULL")
-    w = Window.partitionBy("doc_id", "field_name").orderBy(F.desc("confidence"), "ord")
+    w = Window.partitionBy("doc_id", "field_name").orderBy(F.desc("confidence"), F.asc_nulls_last("ord"))
     return e.withColumn("r", F.row_number().over(w)).filter("r = 1").select("doc_id", "field_name", "value", "confidence", F.concat(F.lit("layoutxlm:"), F.lower("label")).alias("source"))
 
 
 def bio_entities(predictions: DataFrame) -> DataFrame:
-    """(doc_id, page, label, ord, value, confidence, box) from (doc_id, page, ord, word, label, confidence, box)."""
-    w = Window.partitionBy("doc_id").orderBy("page", "ord")
+    """(doc_id, page, label, ord, value, confidence, box) from (doc_id, page, ord, word, label, confidence, box). Words without a place come last, those of one place by their text."""
+    w = Window.partitionBy("doc_id").orderBy("page", F.asc_nulls_last("ord"))
     kind, prefix = F.when(F.col("label").contains("-"), F.substring_index("label", "-", -1)), F.substring_index("label", "-", 1)
     p = predictions.withColumns({"kind": F.when(F.col("label") != "O", F.expr("substring(label, instr(label, '-') + 1)")).otherwise(None), "prefix": prefix})
     p = p.withColumn("kind", F.when(kind.isNotNull(), F.col("kind")))
     new = F.col("kind").isNotNull() & ((F.col("prefix") == "B") | F.lag("kind").over(w).isNull() | (F.lag("kind").over(w) != F.col("kind")) | (F.lag("page").over(w) != F.col("page")))
     p = p.withColumn("g", F.sum(new.cast("int")).over(w)).filter("kind IS NOT NULL")
     side = lambda f, i: f(F.get("box", F.lit(i)))
-    return p.groupBy("doc_id", "page", "kind", "g").agg(F.min("ord").alias("ord"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word"))), lambda x: x["word"]), " ").alias("value"), F.bround(F.avg("confidence"), 4).alias("confidence"), F.array(side(F.min, 0), side(F.min, 1), side(F.max, 2), side(F.max, 3)).alias("box")).select("doc_id", "page", F.col("kind").alias("label"), "ord", "value", "confidence", "box")
+    return p.groupBy("doc_id", "page", "kind", "g").agg(F.min("ord").alias("ord"), F.when(F.count("word") > 0, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ord").isNull(), "ord", "word"))), lambda x: x["word"]), " ")).alias("value"), F.bround(F.avg("confidence"), 4).alias("confidence"), F.array(side(F.min, 0), side(F.min, 1), side(F.max, 2), side(F.max, 3)).alias("box")).select("doc_id", "page", F.col("kind").alias("label"), "ord", "value", "confidence", "box")
 
 
 def replaces_pair(name: Column, old: Column, pair: Column) -> Column:

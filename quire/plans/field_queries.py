@@ -66,7 +66,7 @@ def entities(spark, sf_dir):
     i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("n"), "l_quantity", "l_extendedprice")
     kind = F.when(F.col("k") % 5 == 0, "O").when(F.col("k") % 5 == 1, "B-COMPANY").when(F.col("k") % 5 == 2, "I-COMPANY").when(F.col("k") % 5 == 3, "B-TOTAL").otherwise("I-TOTAL")
     # a whole ordinal, so that both engines see one order
-    place = (F.col("n") * 1000000 + F.col("k")).cast("long")
+    place = F.col("n").cast("long") * 1000000 + F.col("k")
     rows = i.groupBy("doc_id", "n", "k").agg(F.min("l_quantity").alias("q"))
     return rows.select("doc_id", F.lit(1).alias("page"), place.alias("ord"), F.concat(F.lit("w"), F.col("k").cast("string")).alias("word"), kind.alias("label"), ((F.col("k") % 64) / 64.0).alias("confidence"), F.array((F.col("k") % 900).cast("int"), F.col("n").cast("int"), (F.col("k") % 900 + 50).cast("int"), (F.col("n") + 9).cast("int")).alias("box"))
 

@@ -535,6 +535,15 @@ def test_doubles_are_rounded_as_in_the_jvm(spark):
     assert R.rounded(np.array(x), 6).tolist() == want
 
 
+def test_best_entity_with_long_orders_and_missing_places(spark, tmp_path):
+    """A place is a whole number of eight bytes; words without one come last, and a value without words is missing."""
+    spark.createDataFrame([(7, "a", 1.0)], "p_partkey long, p_name string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    items = [(1, k, n, 1.0, 1.0) for n, k in ((2147, 6), (2148, 7), (3000, 11), (1, 8), (None, 9), (2, None))] + [(2, None, 1, 1.0, 1.0), (None, 1, 1, 1.0, 1.0), (None, 2, 2, 1.0, 1.0), (3, 6, None, 1.0, 1.0), (3, 6, 1, 1.0, 1.0)]
+    for name in ("best_entity_field", "bio_entities"):
+        got, want = _both(spark, name, tmp_path, items)
+        assert got == want and len(got) >= 5
+
+
 def test_items_are_dealt_by_their_bytes(spark, monkeypatch):
     """Many items go to more parts than a small session setting says, and are never sorted by part; the rows stay the same."""
     at = "/root/testdata/sf0.001"
